@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.domains import LOW_STOCK, OVERSTOCKED, SIZES, STOCKOUT
 from ..functions.measures import time_dims
-from ..functions.numeric import count_where, lakhs, pct, ratio, rnd
+from ..functions.numeric import count_where, first_largest, lakhs, pct, ratio, rnd
 
 
 def stock_grid(products: DataFrame, sizes: Sequence[str] = SIZES) -> DataFrame:
@@ -65,14 +65,24 @@ def inventory_snapshot(
 def customer_master(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """Customers with lifetime orders, spend, order value, preferred category and size.
 
-    Preferred = on most lines, the alphabetically first one on a tie. One pass over the lines; the
-    per-customer counts behind ``mode`` are bounded by the category and size lists.
+    Preferred = on most lines, the alphabetically first one on a tie. One pass over the lines: each is
+    counted under its order, its category and its size. The counts combine map-side and shuffle by
+    (customer, value), so a customer with very many lines is spread over tasks.
     """
-    lifetime = orders.groupBy("customer_id").agg(
-        F.countDistinct("order_id").alias("total_orders"),
-        F.sum("revenue_inr").alias("total_spend_inr"),
-        F.mode("category", True).alias("preferred_category"),
-        F.mode("size", True).alias("preferred_size"),
+    order, category, size = 0, 1, 2
+    facets = F.array(F.lit(None).cast("string"), F.col("category"), F.col("size"))
+    facet = F.col("facet")
+    counted = (
+        orders.select("customer_id", "order_id", "revenue_inr", F.posexplode(facets).alias("facet", "name"))
+        .groupBy("customer_id", "facet", "name", F.when(facet == order, F.col("order_id")).alias("order_id"))
+        .agg(F.count(F.lit(1)).alias("lines"), F.sum("revenue_inr").alias("revenue"))
+    )
+    named = F.when(F.col("name").isNotNull(), F.col("lines"))
+    lifetime = counted.groupBy("customer_id").agg(
+        F.count("order_id").alias("total_orders"),
+        F.sum(F.when(facet == order, F.col("revenue"))).alias("total_spend_inr"),
+        first_largest(F.when(facet == category, named), "name").alias("preferred_category"),
+        first_largest(F.when(facet == size, named), "name").alias("preferred_size"),
     )
     derived = [c for c in lifetime.columns if c != "customer_id"] + ["avg_order_value"]
     return (
@@ -103,7 +113,8 @@ def channel_monthly_rollup(orders: DataFrame) -> DataFrame:
         )
     )
     earliest = (
-        orders.groupBy("customer_id").agg(F.min(F.struct("order_date", "order_id")).alias("first"))
+        orders.groupBy("customer_id", "order_id").agg(F.min("order_date").alias("order_date"))
+        .groupBy("customer_id").agg(F.min(F.struct("order_date", "order_id")).alias("first"))
         .select("customer_id", F.col("first.order_id").alias("order_id"), F.lit(True).alias("is_first"))
     )
     months = (

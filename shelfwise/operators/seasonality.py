@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.domains import month_label
 from ..functions.numeric import lakhs, ratio, rnd
 from ..sources.loader import delivered
 
-_ALL_MONTHS = Window.partitionBy()
+
+def _month_mean(value: str) -> Column:
+    return F.avg(value).over(Window.partitionBy())
 
 
 def seasonality_index_avg(orders: DataFrame, peak: float = 1.2, trough: float = 0.85) -> DataFrame:
@@ -21,7 +23,7 @@ def seasonality_index_avg(orders: DataFrame, peak: float = 1.2, trough: float =
     return (
         delivered(orders).groupBy("month", "month_name")
         .agg(lakhs(F.avg("revenue_inr")).alias("avg_monthly_rev_lakhs"))
-        .withColumn("annual_monthly_avg", F.avg("avg_monthly_rev_lakhs").over(_ALL_MONTHS))
+        .withColumn("annual_monthly_avg", _month_mean("avg_monthly_rev_lakhs"))
         .withColumn("seasonality_index", rnd(index, 3))
         .withColumn("demand_label", F.when(index > peak, "Peak").when(index < trough, "Trough").otherwise("Normal"))
         .orderBy("month")
@@ -37,7 +39,7 @@ def seasonality_index_sum(orders: DataFrame, peak: float = 1.10, trough: float =
     return (
         delivered(orders).groupBy("month").agg((F.sum("revenue_inr") / 1e5).alias("revenue_lakhs"))
         .withColumn("month_name", month_label("month"))
-        .withColumn("seasonality_index", rnd(ratio("revenue_lakhs", F.avg("revenue_lakhs").over(_ALL_MONTHS)), 3))
+        .withColumn("seasonality_index", rnd(ratio("revenue_lakhs", _month_mean("revenue_lakhs")), 3))
         .withColumn("demand_label", F.when(index > peak, "Peak").when(index > trough, "Normal").otherwise("Trough"))
         .orderBy("month")
     )

@@ -79,7 +79,8 @@ class CanonicalModel:
             size.alias("size"),
             F.col("l_quantity").cast("long").alias("quantity"),
             unit_price.alias("mrp"),
-            F.round(F.col("l_discount") * 400.0, 0).alias("discount_pct"),
+            # Nearest whole percent; ``round`` on doubles goes through BigDecimal for every row.
+            F.floor(F.col("l_discount") * 400.0 + 0.5).cast("double").alias("discount_pct"),
             (unit_price * _cost_share()).alias("cost_price"),
             status.alias("order_status"),
             (F.col("l_returnflag") == "R").alias("is_returned"),

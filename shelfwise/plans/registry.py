@@ -24,13 +24,22 @@ from .session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+_MODELS: dict[tuple[str, int, str], CanonicalModel] = {}
+
+
+def model_of(spark: SparkSession, folder: str) -> CanonicalModel:
+    """The model of a folder, built once per session. It holds plans, never data."""
+    key = (spark.sparkContext.applicationId, id(spark), folder)
+    if key not in _MODELS:
+        _MODELS[key] = CanonicalModel(spark, folder)
+    return _MODELS[key]
 
 
 def query(build: Callable[[CanonicalModel], DataFrame]) -> Query:
     """Register a function of the model under its own name."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return build(CanonicalModel(prepare(spark), folder))
+        return build(model_of(prepare(spark), folder))
 
     run.__doc__ = build.__doc__
     QUERIES[build.__name__] = run

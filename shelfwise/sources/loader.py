@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.domains import DELIVERED
-from .schema import SCHEMAS
+from .schema import SCHEMAS, columns_of
 
 
 @dataclass(frozen=True)
@@ -36,16 +36,15 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "csv") -> D
     Parquet is ``<name>.parquet`` (a file, or a directory as ``write_mart`` leaves it) and only
     its known columns are read, cast to the declared types.
     """
-    schema = SCHEMAS[name]
     if fmt == "csv":
         return (
-            spark.read.schema(schema)
+            spark.read.schema(SCHEMAS[name])
             .options(header=True, enforceSchema=False, dateFormat="yyyy-MM-dd", mode="FAILFAST")
             .csv(f"{path}/{name}.csv")
         )
     if fmt == "parquet":
         df = spark.read.parquet(f"{path}/{name}.parquet")
-        return df.select(*[F.col(f.name).cast(f.dataType) for f in schema if f.name in df.columns])
+        return df.select(*[F.col(c).cast(t) for c, t in columns_of(name).items() if c in df.columns])
     raise ValueError(f"unknown format {fmt!r}: use 'csv' or 'parquet'")
 
 
