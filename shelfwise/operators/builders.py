@@ -19,14 +19,14 @@ def stock_grid(products: DataFrame, sizes: Sequence[str] = SIZES) -> DataFrame:
 
 
 def inventory_snapshot(
-    products: DataFrame, stock: DataFrame, lines: DataFrame, as_of: datetime.date, since: datetime.date,
-    weeks: int, sizes: Sequence[str] = SIZES, low_woc: float = 26, over_st: float = 30, healthy_st: float = 60,
+    stock: DataFrame, lines: DataFrame, as_of: datetime.date, since: datetime.date, weeks: int,
+    low_woc: float = 26, over_st: float = 30, healthy_st: float = 60,
 ) -> DataFrame:
     """Stock position of every product and size at ``as_of``.
 
-    ``stock`` holds opening stock and receipts, ``lines`` the demand in (``since``, ``as_of``], a
-    period of ``weeks`` weeks. Lines are summed per product and size before they meet the
-    catalogue, so a best seller weighs one row in the joins.
+    ``stock`` is a ``stock_grid`` of the catalogue with ``opening_stock`` and ``units_received``;
+    ``lines`` hold the demand in (``since``, ``as_of``], a period of ``weeks`` weeks. Lines are summed
+    per product and size before the join, so a best seller weighs one row in it.
     """
     demand = (
         lines.filter((F.col("order_date") > F.lit(since)) & (F.col("order_date") <= F.lit(as_of)))
@@ -34,10 +34,8 @@ def inventory_snapshot(
     )
     available = F.col("opening_stock") + F.col("units_received")
     wanted = F.coalesce("demand", F.lit(0))
-    grid = stock_grid(products.select("product_id", "category", "product_type", "mrp", "cost_price"), sizes)
     position = (
-        grid.join(stock, ["product_id", "size"])
-        .join(demand, ["product_id", "size"], "left")
+        stock.join(demand, ["product_id", "size"], "left")
         .withColumn("units_sold", F.least(wanted, available))
         .withColumn("closing_stock", F.greatest(available - wanted, F.lit(0)))
         .withColumn("sell_through_pct", ratio(F.col("units_sold") * 100.0, available))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.domains import OVERSTOCKED
-from ..functions.numeric import count_where, first_largest, lakhs, pct, ratio, rnd
+from ..functions.numeric import case, count_where, first_largest, lakhs, pct, ratio, rnd
 from ..sources.loader import delivered
 from .sales import kpi_by_year
 
@@ -17,32 +17,58 @@ from .sales import kpi_by_year
 def executive_kpi(orders: DataFrame, marketing: DataFrame) -> DataFrame:
     """One row per year: revenue, orders, margin, returns, buyers, marketing ROAS, best category.
 
-    Lines, marketing and categories are each aggregated to the year and joined there, so no row
-    is multiplied. The return rate counts delivered lines only.
+    The return rate counts delivered lines only. The lines are read once, under three grouping sets:
+    orders and buyers of a year are the groups of the first two, everything else folds up from the
+    categories. Marketing joins as one row per year, so no row is multiplied.
     """
-    sold = delivered(orders)
-    yearly = sold.groupBy("year").agg(
-        lakhs(F.sum("revenue_inr")).alias("net_revenue_lakhs"),
-        F.countDistinct("order_id").alias("total_orders"),
-        rnd(F.avg("selling_price"), 0).alias("aov_inr"),
-        rnd(F.avg("gross_margin_pct"), 1).alias("avg_gross_margin_pct"),
-        rnd(F.avg("discount_pct"), 1).alias("avg_discount_pct"),
-        F.sum("quantity").alias("units_sold"),
-        pct(count_where(F.col("is_returned")), F.count(F.lit(1))).alias("return_rate_pct"),
-        F.countDistinct("customer_id").alias("unique_buyers"),
+    facets = {"order_id": 0, "customer_id": 1, "category": 2}
+    sums = {
+        "revenue": F.sum("revenue_inr"),
+        "price": F.sum("selling_price"),
+        "price_n": F.count("selling_price"),
+        "margin": F.sum("gross_margin_pct"),
+        "margin_n": F.count("gross_margin_pct"),
+        "discount": F.sum("discount_pct"),
+        "discount_n": F.count("discount_pct"),
+        "units_sold": F.sum("quantity"),
+        "returned": count_where(F.col("is_returned")),
+        "lines": F.count(F.lit(1)),
+    }
+    # grouping(c) is 0 where c is one of the set's columns, so each set is known by its facet.
+    facet = case(*[(F.grouping(c) == 0, i) for c, i in facets.items()])
+    folded = (
+        delivered(orders)
+        .groupingSets([["year", c] for c in facets], "year", *facets)
+        .agg(facet.alias("facet"), *[c.alias(n) for n, c in sums.items()])
+        .groupBy("year", "facet", "category")
+        .agg(
+            F.count("order_id").alias("total_orders"), F.count("customer_id").alias("unique_buyers"),
+            *[F.sum(n).alias(n) for n in sums],
+        )
+    )
+    in_category = F.col("facet") == facets["category"]
+    yearly = folded.groupBy("year").agg(
+        F.sum("total_orders").alias("total_orders"),
+        F.sum("unique_buyers").alias("unique_buyers"),
+        first_largest(F.when(in_category & F.col("category").isNotNull(), F.col("revenue")), "category")
+        .alias("top_category_by_rev"),
+        *[F.sum(F.when(in_category, F.col(n))).alias(n) for n in sums],
     )
     spend = marketing.groupBy("year").agg(
         rnd(ratio(F.sum("attributed_revenue_lakhs"), F.sum("spend_inr_lakhs")), 2).alias("blended_roas")
     )
-    best = (
-        sold.groupBy("year", "category").agg(F.sum("revenue_inr").alias("revenue"))
-        .groupBy("year").agg(first_largest("revenue", "category").alias("top_category_by_rev"))
-    )
     return (
-        yearly.join(spend, "year", "left").join(best, "year", "left")
+        yearly.join(spend, "year", "left")
         .select(
-            "year", "net_revenue_lakhs", "total_orders", "aov_inr", "avg_gross_margin_pct", "avg_discount_pct",
-            "units_sold", "return_rate_pct", "unique_buyers",
+            "year",
+            lakhs("revenue").alias("net_revenue_lakhs"),
+            "total_orders",
+            rnd(ratio("price", "price_n"), 0).alias("aov_inr"),
+            rnd(ratio("margin", "margin_n"), 1).alias("avg_gross_margin_pct"),
+            rnd(ratio("discount", "discount_n"), 1).alias("avg_discount_pct"),
+            "units_sold",
+            pct("returned", "lines").alias("return_rate_pct"),
+            "unique_buyers",
             rnd(ratio("total_orders", "unique_buyers"), 2).alias("orders_per_customer"),
             "blended_roas", "top_category_by_rev",
         )

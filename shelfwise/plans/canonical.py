@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.domains import SIZES
+from ..functions.domains import SIZES, position_in
 from ..functions.measures import line_measures, marketing_efficiency, product_margin, time_dims
 from ..functions.numeric import case
-from ..operators.builders import inventory_snapshot
+from ..operators.builders import inventory_snapshot, stock_grid
 from ..sources.loader import Tables
 
 # Parameters of the reports on these tables.
@@ -135,38 +135,49 @@ class CanonicalModel:
 
     @cached_property
     def stock(self) -> DataFrame:
-        """Opening stock and receipts per product and size."""
-        pid, k = F.col("product_id"), F.col("k") + 1
-        return (
-            self.products.select("product_id", F.posexplode(F.array(*[F.lit(s) for s in SIZES])).alias("k", "size"))
-            .select(
-                "product_id", "size",
-                (20 + (pid * 7 + k * 13) % 80).alias("opening_stock"),
-                ((pid * 3 + k * 5) % 40).alias("units_received"),
-            )
-        )
+        """Catalogue by size with opening stock and receipts."""
+        pid, k = F.col("product_id"), position_in(SIZES, "size")
+        return stock_grid(self.products).withColumns({
+            "opening_stock": 20 + (pid * 7 + k * 13) % 80,
+            "units_received": (pid * 3 + k * 5) % 40,
+        })
 
     @cached_property
     def inventory(self) -> DataFrame:
         return inventory_snapshot(
-            self.products, self.stock, self.orders, as_of=STOCK_AS_OF, since=STOCK_SINCE, weeks=STOCK_WEEKS
+            self.stock, self.orders, as_of=STOCK_AS_OF, since=STOCK_SINCE, weeks=STOCK_WEEKS
         )
 
     @cached_property
     def marketing_spend(self) -> DataFrame:
-        lines = (
+        """Spend and attribution per month and region of the supplier.
+
+        Lines are summed per supplier and month before the joins: a supplier with very many lines
+        is one row per month there.
+        """
+        price = F.col("l_extendedprice")
+        per_supplier = (
             self.raw("lineitem")
+            .groupBy("l_suppkey", F.trunc("l_shipdate", "month").alias("month_start_date"))
+            .agg(
+                F.sum(price * (F.col("l_tax") + 0.01)).alias("spend"),
+                F.sum(price * (1.0 - F.col("l_discount") * 4.0)).alias("revenue"),
+                F.sum(F.col("l_quantity").cast("long")).alias("clicks"),
+                F.count(F.lit(1)).alias("conversions"),
+            )
+        )
+        monthly = (
+            per_supplier
             .join(self.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
             .join(self.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
             .join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .withColumn("month_start_date", F.trunc("l_shipdate", "month"))
-        )
-        price = F.col("l_extendedprice")
-        monthly = lines.groupBy("month_start_date", F.col("r_name").alias("marketing_channel")).agg(
-            (F.sum(price * (F.col("l_tax") + 0.01)) / 1e5).alias("spend_inr_lakhs"),
-            (F.sum(price * (1.0 - F.col("l_discount") * 4.0)) / 5e5).alias("attributed_revenue_lakhs"),
-            F.sum(F.col("l_quantity").cast("long")).alias("clicks"),
-            F.count(F.lit(1)).alias("conversions"),
+            .groupBy("month_start_date", F.col("r_name").alias("marketing_channel"))
+            .agg(
+                (F.sum("spend") / 1e5).alias("spend_inr_lakhs"),
+                (F.sum("revenue") / 5e5).alias("attributed_revenue_lakhs"),
+                F.sum("clicks").alias("clicks"),
+                F.sum("conversions").alias("conversions"),
+            )
         )
         return marketing_efficiency(time_dims(monthly, "month_start_date"))
 
