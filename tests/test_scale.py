@@ -1,0 +1,183 @@
+"""Global ranking against native NTILE, plan shapes, and keys that hold a third of all rows."""
+
+from __future__ import annotations
+
+import pathlib
+import re
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+import shelfwise
+from shelfwise.operators import customers, executive, pricing, sales
+from shelfwise.plans import canonical, registry, session
+from shelfwise.plans.ranking import global_ntiles
+
+from .conftest import TESTDATA, records
+
+SMALL = f"{TESTDATA}/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def native(df, column, ascending, buckets):
+    key = F.asc_nulls_last(column) if ascending else F.desc_nulls_last(column)
+    return F.ntile(buckets).over(Window.orderBy(key, "id"))
+
+
+@pytest.mark.parametrize("partitions", ["1", "4", "13"])
+@pytest.mark.parametrize("rows", [1, 3, 5, 7, 1000])
+def test_ranking_equals_native_ntile(spark, conf, partitions, rows):
+    conf("spark.sql.shuffle.partitions", partitions)
+    df = spark.range(rows).select(
+        F.format_string("c%05d", "id").alias("id"),
+        F.pmod(F.hash("id"), F.lit(50)).alias("spread"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 4).alias("tied"),
+        F.when(F.col("id") % 10 != 0, F.col("id") * 1.5).alias("with_nulls"),
+    )
+    got = global_ntiles(
+        df, "id", {"a": F.col("spread"), "b": -F.col("tied"), "c": F.col("with_nulls")}, 5
+    )
+    want = df.select("id", native(df, "spread", True, 5).alias("a"), native(df, "tied", False, 5).alias("b"),
+                     native(df, "with_nulls", True, 5).alias("c"))
+    assert sorted(got.select("id", "a", "b", "c").collect()) == sorted(want.collect())
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(st.integers(-3, 3), min_size=1, max_size=40), buckets=st.integers(1, 9))
+def test_ranking_property(spark, values, buckets):
+    df = spark.createDataFrame(list(enumerate(values)), "id bigint, v bigint")
+    got = {r["id"]: (r["x"], r["x_key"]) for r in records(global_ntiles(df, "id", {"x": F.col("v")}, buckets))}
+    want = {r["id"]: (r["n"], float(r["v"])) for r in records(df.withColumn("n", native(df, "v", True, buckets)))}
+    assert got == want
+
+
+def test_ranking_spreads_one_tied_key(spark, conf):
+    """A key on most rows must not end up in one partition."""
+    conf("spark.sql.shuffle.partitions", "8")
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(20000).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(1).alias("v"))
+    order = [F.asc("v"), F.asc("id")]
+    sizes = [r[0] for r in df.repartitionByRange(*order).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).select("n").collect()]
+    assert len(sizes) == 8 and max(sizes) < 20000 / 3
+    got = records(global_ntiles(df, "id", {"x": F.col("v")}, 4).groupBy("x").count())
+    assert {r["count"] for r in got} == {5000}
+
+
+def test_rfm_plan_has_no_single_partition(spark):
+    model = registry.model_of(session.prepare(spark), SMALL)
+    text = plan(customers.rfm_segmentation(model.orders, canonical.AS_OF))
+    assert "SinglePartition" not in text
+
+
+def test_no_cross_joins_no_python_in_any_plan(spark):
+    for name, query in registry.QUERIES.items():
+        text = plan(query(spark, SMALL))
+        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "MapInPandas"):
+            assert bad not in text, (name, bad)
+
+
+def test_library_never_collects():
+    """Nothing in the library pulls rows to the driver or runs Python per row."""
+    words = r"\.(collect|toPandas|toLocalIterator|localCheckpoint|crossJoin|foreach)\(|\b(udf|pandas_udf)\b|\.rdd\b"
+    for path in pathlib.Path(shelfwise.__file__).parent.rglob("*.py"):
+        found = [m.group(0) for m in re.finditer(words, path.read_text())]
+        assert not found, (path, found)
+
+
+def test_status_and_columns_reach_the_scan(spark):
+    text = plan(sales.category_contribution(registry.model_of(spark, SMALL).orders, 2000))
+    assert "EqualNullSafe(o_orderstatus,F)" in text
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", text)
+    assert any(s == "o_orderkey:bigint,o_orderstatus:string,o_orderdate:timestamp_ntz" for s in schemas), schemas
+    assert not any("l_tax" in s or "p_name" in s for s in schemas)
+
+
+def test_executive_report_reads_lines_once(spark):
+    model = registry.model_of(spark, SMALL)
+    text = plan(executive.executive_kpi(model.orders, model.marketing_spend))
+    assert len(re.findall(r"FileScan parquet .*orders\.parquet", text)) == 1
+
+
+def test_dimensions_are_broadcast_only_below_the_size_limit(spark, conf):
+    model = registry.model_of(spark, SMALL)
+    assert "BroadcastHashJoin" in plan(sales.hero_skus(model.orders, model.products))
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert "Broadcast" not in plan(sales.hero_skus(model.orders, model.products))
+
+
+def test_results_do_not_depend_on_the_join_strategy(spark, conf):
+    names = ["executive_kpi", "city_tier_mix", "licensed_margin", "top_products", "customer_master", "marketing_roi_year"]
+    broadcast = {n: records(registry.QUERIES[n](spark, SMALL)) for n in names}
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.shuffle.partitions", "5")
+    for n in names:
+        assert sorted(map(str, records(registry.QUERIES[n](spark, SMALL)))) == sorted(map(str, broadcast[n])), n
+
+
+def hot_lines(spark, n=60000):
+    """A third of the lines belongs to one product, one customer and one order."""
+    hot, rest = F.col("id") % 3 == 0, F.col("id").cast("string")
+    money = ["revenue_inr", "gross_profit_inr", "gross_margin_pct", "discount_pct", "selling_price"]
+    return spark.range(n).select(
+        F.when(hot, "p0").otherwise(F.concat(F.lit("p"), F.col("id") % 997)).alias("product_id"),
+        F.when(hot, "c0").otherwise(F.concat(F.lit("c"), F.col("id") % 991)).alias("customer_id"),
+        F.when(hot, "o0").otherwise(F.concat(F.lit("o"), rest)).alias("order_id"),
+        F.lit("Delivered").alias("order_status"), F.lit("A").alias("category"), F.lit(1).alias("quantity"),
+        *[F.rand(seed).alias(c) for seed, c in enumerate(money)],
+    )
+
+
+def test_hot_product_join_is_split(spark, conf):
+    """Lines of a hot product meet the catalogue in several tasks, with the same result."""
+    for key, value in session.ADAPTIVE_SETTINGS.items():
+        conf(key, value)
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "20KB")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "2")
+    conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20KB")
+    conf("spark.sql.shuffle.partitions", "16")
+    lines = hot_lines(spark).repartition(8)
+    catalogue = spark.range(997).select(
+        F.concat(F.lit("p"), F.col("id")).alias("product_id"), (F.col("id") % 2 == 0).alias("is_licensed"),
+        F.lit(100.0).alias("mrp"), F.lit(50.0).alias("gross_margin_pct"),
+    )
+    df = pricing.licensed_margin(lines, catalogue)
+    rows = {r["is_licensed"]: r["units_sold"] for r in records(df)}
+    assert sum(rows.values()) == 60000
+    assert "skew=true" in plan(df)
+
+
+def test_hot_customer_shrinks_before_the_join(spark, conf):
+    """Per customer and category at most one row reaches the customer join."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    lines = hot_lines(spark)
+    base = spark.range(991).select(F.concat(F.lit("c"), F.col("id")).alias("customer_id"), F.lit("Loyal").alias("loyalty_segment"))
+    df = customers.category_by_loyalty(lines, base)
+    assert records(df.select("unique_buyers", "units_purchased")) == [{"unique_buyers": 991, "units_purchased": 60000}]
+    text = plan(df)
+    assert text.rindex("partial_sum") > text.index("SortMergeJoin")
+
+
+def test_shares_and_year_to_date_add_up(spark):
+    model = registry.model_of(spark, SMALL)
+    shares = sales.channel_mix_pivot(model.orders, canonical.CHANNELS)
+    total = sum((F.col(f"`{c}_share_pct`") for c in canonical.CHANNELS), F.lit(0.0))
+    assert all(abs(r[0] - 100) < 1e-9 for r in shares.select(total).collect())
+    rows = records(sales.rolling_ytd_revenue(model.orders))
+    for year in {r["year"] for r in rows}:
+        own = [r for r in rows if r["year"] == year]
+        assert own[-1]["ytd_revenue_lakhs"] == pytest.approx(sum(r["revenue_lakhs"] for r in own), abs=0.005)
+
+
+def test_bands_add_up_to_the_whole(spark):
+    lines = registry.model_of(spark, SMALL).orders
+    units = lines.filter("order_status = 'Delivered'").agg(F.sum("quantity")).first()[0]
+    for contiguous in (False, True):
+        assert sum(r["units_sold"] for r in records(pricing.discount_bands(lines, contiguous=contiguous))) == units
