@@ -90,12 +90,7 @@ def top_products(
     return (
         sold.join(products.select(*attributes), "product_id")
         .join(stock, "product_id", "left")
-        .groupBy(*attributes)
-        .agg(
-            *[F.sum(n).alias(n) for n in sums],
-            F.max("sell_through_pct").alias("sell_through_pct"),
-            F.max("stock_status").alias("stock_status"),
-        )
+        .groupBy(*attributes, "sell_through_pct", "stock_status").agg(*[F.sum(n).alias(n) for n in sums])
         .orderBy(key, "product_id")
         .limit(k)
         .select(

@@ -48,6 +48,12 @@ class CanonicalModel:
             _SCHEMAS[key] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(_SCHEMAS[key]).parquet(path)
 
+    @cached_property
+    def input_bytes(self) -> int:
+        """File size of the two big tables, from the optimizer's statistics (a listing, no job)."""
+        sizes = (self.raw(t)._jdf.queryExecution().analyzed().stats().sizeInBytes() for t in ("lineitem", "orders"))
+        return sum(int(str(size)) for size in sizes)
+
     @cached_property
     def order_lines(self) -> DataFrame:
         """Order lines before the derived columns.

@@ -11,8 +11,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import ensure_checkpoint_dir
+from .session import ensure_checkpoint_dir, shuffle_partitions
 
+# The range bounds come from about 100 sampled keys per range, held by the driver.
+MOST_RANGES = 8192
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number in the lower 33 bits
 
 
@@ -28,8 +30,8 @@ def global_ntiles(df: DataFrame, id_col: str, orderings: Mapping[str, Column], b
        unique, so a key value shared by a third of the rows is split like any other;
     3. the position inside the partition is fixed by a reliable checkpoint. The range bounds come
        from a sample: a recomputed layout could differ, a checkpointed one survives lost executors;
-    4. rows before each partition = running sum over the per-partition counts (partitions x
-       orderings rows, a bound set by configuration and not by the data, hence the broadcast);
+    4. rows before each partition = running sum over the per-partition counts (at most
+       ``MOST_RANGES`` plus one per ordering, whatever the data, hence the broadcast);
     5. bucket by arithmetic from the global rank, then back to one row per id.
     """
     ensure_checkpoint_dir(df.sparkSession)
@@ -37,8 +39,10 @@ def global_ntiles(df: DataFrame, id_col: str, orderings: Mapping[str, Column], b
     keys = F.array(*[orderings[name].cast("double") for name in names])
     stacked = df.select(F.col(id_col), F.posexplode(keys).alias("ordering", "key"))
     order = [F.asc("ordering"), F.asc_nulls_last("key"), F.asc(id_col)]
+    # Adaptive execution merges small ranges unless their number is given, so it is given only at the cap.
+    capped = [MOST_RANGES] if shuffle_partitions(df.sparkSession) > MOST_RANGES else []
     placed = (
-        stacked.repartitionByRange(*order)
+        stacked.repartitionByRange(*capped, *order)
         .sortWithinPartitions(*order)
         .withColumn("place", F.monotonically_increasing_id())
         .select(id_col, "ordering", "key", F.shiftright("place", _ROW_BITS).alias("part"),

@@ -39,7 +39,9 @@ def query(build: Callable[[CanonicalModel], DataFrame]) -> Query:
     """Register a function of the model under its own name."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return build(model_of(prepare(spark), folder))
+        model = model_of(spark, folder)
+        prepare(spark, model.input_bytes)
+        return build(model)
 
     run.__doc__ = build.__doc__
     QUERIES[build.__name__] = run

@@ -15,15 +15,46 @@ ADAPTIVE_SETTINGS = {
 }
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings above, except those the application was submitted with."""
+MB = 1 << 20
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+SPLIT_BYTES = "spark.sql.files.maxPartitionBytes"
+
+
+def prepare(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
+    """Apply the settings above and those for the input size.
+
+    What the application was submitted with stays as it is.
+    """
     submitted = spark.sparkContext.getConf()
-    for key, value in ADAPTIVE_SETTINGS.items():
+    for key, value in {**ADAPTIVE_SETTINGS, **sizing(spark, input_bytes)}.items():
         if submitted.get(key) is None:
             spark.conf.set(key, value)
     return spark
 
 
+def sizing(spark: SparkSession, input_bytes: int, per_partition: int = 256 * MB, most: int = 65536) -> dict[str, str]:
+    """Shuffle and scan partition settings for an input of that many bytes.
+
+    Adaptive execution merges small shuffle partitions but never splits ordinary ones, so a shuffle starts
+    from enough partitions for the whole input: one per 256 MB of files (a report reads a third
+    or less of the columns), 65,536 at most. Above 25 TB scan splits grow so that there are at most
+    200,000 of them. Small inputs keep the session's own numbers.
+    """
+    settings = {}
+    wanted = min(input_bytes // per_partition, most)
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        settings[INITIAL_PARTITIONS] = str(wanted)
+    split = input_bytes // 200_000
+    if split > 128 * MB:
+        settings[SPLIT_BYTES] = str(split)
+    return settings
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The number of partitions a shuffle starts with."""
+    return int(spark.conf.get(INITIAL_PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for ``checkpoint()``: what the cluster names in ``spark.checkpoint.dir``.
 

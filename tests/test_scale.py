@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import shelfwise
 from shelfwise.operators import customers, executive, pricing, sales
-from shelfwise.plans import canonical, registry, session
+from shelfwise.plans import canonical, ranking, registry, session
 from shelfwise.plans.ranking import global_ntiles
 
 from .conftest import TESTDATA, records
@@ -75,6 +75,25 @@ def test_rfm_plan_has_no_single_partition(spark):
     assert "SinglePartition" not in text
 
 
+def test_settings_grow_with_the_input(spark):
+    tb = 1 << 40
+    assert session.sizing(spark, 20 << 20) == {}
+    assert session.sizing(spark, tb) == {session.INITIAL_PARTITIONS: "4096"}
+    assert session.sizing(spark, 100 * tb) == {
+        session.INITIAL_PARTITIONS: "65536", session.SPLIT_BYTES: str(100 * tb // 200_000),
+    }
+    model = registry.model_of(spark, SMALL)
+    assert 100_000 < model.input_bytes < 10_000_000
+
+
+def test_ranking_with_capped_ranges(spark, conf, monkeypatch):
+    monkeypatch.setattr(ranking, "MOST_RANGES", 3)
+    conf("spark.sql.shuffle.partitions", "16")
+    df = spark.range(1000).select("id", F.pmod(F.hash("id"), F.lit(9)).alias("v"))
+    got = global_ntiles(df, "id", {"x": F.col("v")}, 7).select("id", "x")
+    assert sorted(got.collect()) == sorted(df.select("id", native(df, "v", True, 7)).collect())
+
+
 def test_no_cross_joins_no_python_in_any_plan(spark):
     for name, query in registry.QUERIES.items():
         text = plan(query(spark, SMALL))
