@@ -17,6 +17,11 @@ from ..functions.domains import (
 from ..functions.numeric import count_where, lakhs, ratio, rnd
 
 
+# Labels of the lists.
+PRIORITIES = ("P1 - Urgent", "P2 - High", "P3 - Medium")
+CLEARANCE = "Clearance Recommended"
+
+
 def inventory_health_by_category(inventory: DataFrame) -> DataFrame:
     """SKUs, stock, mean sell-through, velocity and cover per category; status counts are of SKU-sizes."""
     status = F.col("stock_health_status")
@@ -57,7 +62,7 @@ def overstock_alert(
         "product_id", "product_name", "category", "product_type", "size", "closing_stock", "sell_through_pct",
         "rate_of_sale_per_week", "weeks_of_cover", "stock_value_at_mrp", "stock_value_at_cost",
         rnd(F.col("stock_value_at_cost") * markdown, 0).alias("potential_markdown_loss"),
-        F.lit("Clearance Recommended").alias("action_flag"),
+        F.lit(CLEARANCE).alias("action_flag"),
     )
 
 
@@ -68,7 +73,7 @@ def reorder_priority(
     urgency = (
         F.when(F.col("closing_stock") == 0, 0).when(F.col("weeks_of_cover") < high_woc, 1).otherwise(2)
     )
-    labels = F.array(F.lit("P1 - Urgent"), F.lit("P2 - High"), F.lit("P3 - Medium"))
+    labels = F.array(*[F.lit(p) for p in PRIORITIES])
     wanted = F.col("rate_of_sale_per_week") * float(cover_weeks)
     return (
         inventory.filter("reorder_recommended").drop("category")
