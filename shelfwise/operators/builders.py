@@ -94,40 +94,28 @@ def customer_master(customers: DataFrame, orders: DataFrame) -> DataFrame:
 def channel_monthly_rollup(orders: DataFrame) -> DataFrame:
     """Month and channel: GMV before discount, net revenue, orders (new and repeat), returns, discounts.
 
-    An order is new when it is its customer's earliest one (lowest id on the same day). The earliest order
-    is an aggregate joined back on customer and order, not a window over the lines of a customer,
-    so a customer with very many lines stays spread over tasks.
+    A customer's earliest order (lowest id on the same day) is new in its month and channel, all others are
+    repeat orders. The earliest order is an aggregate, not a window over the lines of a customer, so
+    a customer with very many lines stays spread over tasks; new orders are counted from it
+    directly and join as one row per month and channel.
     """
     dims = ["month_start_date", "channel"]
-    per_order = (
-        orders.withColumn("month_start_date", F.trunc("order_date", "month"))
-        .groupBy(*dims, "customer_id", "order_id")
-        .agg(
-            F.sum(F.col("mrp") * F.col("quantity")).alias("gmv"),
-            F.sum("revenue_inr").alias("net"),
-            F.sum("quantity").alias("units"),
-            F.count(F.lit(1)).alias("lines"),
-            count_where(F.col("is_returned")).alias("returned"),
-        )
+    month = F.trunc("order_date", "month").alias("month_start_date")
+    totals = orders.groupBy(month, "channel").agg(
+        F.sum(F.col("mrp") * F.col("quantity")).alias("gmv"),
+        F.sum("revenue_inr").alias("net"),
+        F.countDistinct("order_id").alias("total_orders"),
+        F.sum("quantity").alias("units_sold"),
+        F.count(F.lit(1)).alias("lines"),
+        count_where(F.col("is_returned")).alias("returned"),
     )
     earliest = (
-        orders.groupBy("customer_id", "order_id").agg(F.min("order_date").alias("order_date"))
-        .groupBy("customer_id").agg(F.min(F.struct("order_date", "order_id")).alias("first"))
-        .select("customer_id", F.col("first.order_id").alias("order_id"), F.lit(True).alias("is_first"))
-    )
-    months = (
-        per_order.join(earliest, ["customer_id", "order_id"], "left")
-        .groupBy(*dims)
-        .agg(
-            F.sum("gmv").alias("gmv"),
-            F.sum("net").alias("net"),
-            F.countDistinct("order_id").alias("total_orders"),
-            F.countDistinct(F.when(F.col("is_first"), F.col("order_id"))).alias("new_customer_orders"),
-            F.sum("units").alias("units_sold"),
-            F.sum("lines").alias("lines"),
-            F.sum("returned").alias("returned"),
-        )
+        orders.select("customer_id", "order_date", "order_id", "channel").distinct()
+        .groupBy("customer_id").agg(F.min(F.struct("order_date", "order_id", "channel")).alias("first"))
+        .select("first.*")
     )
+    new = earliest.groupBy(month, "channel").agg(F.countDistinct("order_id").alias("new_customer_orders"))
+    months = totals.join(new, dims, "left").fillna(0, ["new_customer_orders"])
     return time_dims(months, "month_start_date").select(
         F.col("month_start_date").alias("date"), "year", "month", "month_name", "quarter", "channel",
         lakhs("gmv").alias("gmv_lakhs"),
