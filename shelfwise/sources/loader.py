@@ -96,7 +96,16 @@ def write_mart(df: DataFrame, path: str, name: str, partition_by: tuple[str, ...
     there is not overwritten: the write fails.
     """
     target = f"{path}/{name}.parquet"
-    if partition_by:
-        df = df.hint("rebalance", *partition_by)
-    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(target)
+    df.hint("rebalance", *partition_by).write.mode("errorifexists").partitionBy(*partition_by).parquet(target)
     return target
+
+
+def write_marts(tables: Tables, path: str) -> dict[str, str]:
+    """Write every table; those with a ``year`` are partitioned by it. ``load_tables(..., "parquet")`` reads them.
+
+    Order lines that come from joins are joined here once, and the reports then only scan them.
+    """
+    return {
+        name: write_mart(df, path, name, ("year",) if "year" in df.columns else ())
+        for name, df in tables.present().items()
+    }

@@ -9,12 +9,13 @@ import sys
 import pytest
 from pyspark.errors import AnalysisException
 
-from shelfwise.operators import marketing, quality
+from shelfwise.operators import customers, executive, inventory, marketing, pricing, quality, sales
 from shelfwise.plans import session
-from shelfwise.sources import Tables, delivered, load_tables, preview, register, table_counts, write_mart
+from shelfwise.plans.canonical import CanonicalModel
+from shelfwise.sources import Tables, delivered, load_tables, preview, register, table_counts, write_mart, write_marts
 from shelfwise.sources.schema import SCHEMAS, columns_of
 
-from .conftest import records
+from .conftest import TESTDATA, records
 
 CSV_DIR = os.environ.get("RETAIL_CSV_DIR")
 PRODUCTS = """product_id,product_name,category,product_type,gender,mrp,cost_price,gross_margin_pct,launch_date,is_licensed,is_active,initial_stock_units,fabric,fit,hsn_code
@@ -67,6 +68,24 @@ def test_mart_round_trip_prunes_years(spark, make, tmp_path):
         write_mart(lines, str(tmp_path), "orders")
 
 
+def test_reports_on_marts_equal_those_on_joins(spark, tmp_path):
+    model = CanonicalModel(spark, f"{TESTDATA}/sf0.001")
+    write_marts(model.tables(), str(tmp_path))
+    marts = load_tables(spark, str(tmp_path), "parquet", model.tables().present())
+    reports = {
+        "executive": lambda m: executive.executive_kpi(m.orders, m.marketing_spend),
+        "findings": lambda m: executive.findings_summary(m.orders, m.inventory, m.customers, m.marketing_spend),
+        "stock": lambda m: inventory.inventory_health_by_category(m.inventory),
+        "loyalty": lambda m: customers.category_by_loyalty(m.orders, m.customers),
+        "licensed": lambda m: pricing.licensed_margin(m.orders, m.products),
+    }
+    for name, report in reports.items():
+        on_marts = report(marts)
+        assert sorted(map(str, on_marts.collect())) == sorted(map(str, report(model).collect())), name
+    plan = sales.category_contribution(marts.orders, 2000)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "(year#" in plan[plan.index("PartitionFilters"):][:80]
+
+
 def test_register_and_sql(spark, make):
     before = spark.catalog.currentDatabase()
     try:
@@ -141,8 +160,6 @@ def test_golden_marketing_2024(spark):
 
 @needs_csv
 def test_golden_executive_and_findings(spark, make):
-    from shelfwise.operators import executive
-
     spend = load_tables(spark, CSV_DIR, names=["marketing_spend"]).marketing_spend
     lines = make("orders", [{"year": y} for y in (2022, 2023, 2024)])
     roas = {r["year"]: r["blended_roas"] for r in records(executive.executive_kpi(lines, spend))}
