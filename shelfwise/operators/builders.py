@@ -110,7 +110,8 @@ def channel_monthly_rollup(orders: DataFrame) -> DataFrame:
         count_where(F.col("is_returned")).alias("returned"),
     )
     earliest = (
-        orders.select("customer_id", "order_date", "order_id", "channel").distinct()
+        orders.filter(F.col("order_date").isNotNull())
+        .select("customer_id", "order_date", "order_id", "channel").distinct()
         .groupBy("customer_id").agg(F.min(F.struct("order_date", "order_id", "channel")).alias("first"))
         .select("first.*")
     )

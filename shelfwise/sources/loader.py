@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.domains import DELIVERED
-from .schema import SCHEMAS, columns_of
+from .schema import TABLES, columns_of
 
 
 @dataclass(frozen=True)
@@ -30,26 +30,31 @@ class Tables:
 
 
 def read_table(spark: SparkSession, path: str, name: str, fmt: str = "csv") -> DataFrame:
-    """One table by its declared schema. CSV is ``<name>.csv`` with a header.
+    """The known columns of one table, found by name and cast to their declared types.
 
-    The header decides which CSV column is which, so a malformed file fails instead of shifting columns.
-    Parquet is ``<name>.parquet`` (a file, or a directory as ``write_mart`` leaves it) and only
-    its known columns are read, cast to the declared types.
+    CSV is ``<name>.csv`` (a file or a folder of files) with a header; types are never inferred from the
+    data, and a value that does not fit its type is an error, not a NULL. Parquet is ``<name>.parquet``.
+    Columns may come in any order; further ones are not read, and an absent one is simply not there.
     """
     if fmt == "csv":
-        return (
-            spark.read.schema(SCHEMAS[name])
-            .options(header=True, enforceSchema=False, dateFormat="yyyy-MM-dd", mode="FAILFAST")
-            .csv(f"{path}/{name}.csv")
-        )
-    if fmt == "parquet":
+        df = spark.read.options(header=True, enforceSchema=False, mode="FAILFAST").csv(f"{path}/{name}.csv")
+    elif fmt == "parquet":
         df = spark.read.parquet(f"{path}/{name}.parquet")
-        return df.select(*[F.col(c).cast(t) for c, t in columns_of(name).items() if c in df.columns])
-    raise ValueError(f"unknown format {fmt!r}: use 'csv' or 'parquet'")
+    else:
+        raise ValueError(f"unknown format {fmt!r}: use 'csv' or 'parquet'")
+    present = set(df.columns)
+    return df.select(*[_typed(df, c, t).alias(c) for c, t in columns_of(name).items() if c in present])
+
+
+def _typed(df: DataFrame, name: str, kind: str) -> Column:
+    column = df[name]
+    if kind == "bigint" and dict(df.dtypes)[name] == "string":
+        column = column.cast("decimal(38,6)")  # counts with gaps are often written as 12.0
+    return column.cast(kind)
 
 
 def load_tables(
-    spark: SparkSession, path: str, fmt: str = "csv", names: Iterable[str] = tuple(SCHEMAS)
+    spark: SparkSession, path: str, fmt: str = "csv", names: Iterable[str] = TABLES
 ) -> Tables:
     """Load the named tables (all six by default) from one folder."""
     return Tables(**{name: read_table(spark, path, name, fmt) for name in names})

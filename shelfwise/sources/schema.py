@@ -1,4 +1,4 @@
-"""Explicit schemas of the six tables: no inference pass over the files.
+"""Declared columns and types of the six tables: no inference pass over the files.
 
 Counts are bigint throughout, so that sums never overflow. Schemas are DDL strings: importing
 this module needs no running Spark.
@@ -42,6 +42,8 @@ SCHEMAS: dict[str, str] = {
     ),
 }
 
+TABLES = tuple(SCHEMAS)
+
 
 def columns_of(table: str) -> dict[str, str]:
     """Column name -> type of a table."""

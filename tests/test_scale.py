@@ -31,7 +31,7 @@ def native(df, column, ascending, buckets):
 
 
 @pytest.mark.parametrize("partitions", ["1", "4", "13"])
-@pytest.mark.parametrize("rows", [1, 3, 5, 7, 1000])
+@pytest.mark.parametrize("rows", [0, 1, 3, 5, 7, 1000])
 def test_ranking_equals_native_ntile(spark, conf, partitions, rows):
     conf("spark.sql.shuffle.partitions", partitions)
     df = spark.range(rows).select(
