@@ -29,9 +29,18 @@ def position_in(values: Sequence[str], col: Column | str) -> Column:
     return F.array_position(F.array(*[F.lit(v) for v in values]), col)
 
 
+def _label(names: Sequence[str], number: Column | str) -> Column:
+    """The name at a 1-based number: a lookup in a literal, with no string built per row."""
+    number = F.col(number) if isinstance(number, str) else number
+    return F.element_at(F.array(*[F.lit(n) for n in names]), number.cast("int"))
+
+
 def month_label(month: Column | str) -> Column:
-    month = F.col(month) if isinstance(month, str) else month
-    return F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), month.cast("int"))
+    return _label(MONTH_NAMES, month)
+
+
+def quarter_label(quarter: Column | str) -> Column:
+    return _label(QUARTERS, quarter)
 
 
 def domain_frame(spark: SparkSession, name: str, values: Sequence) -> DataFrame:

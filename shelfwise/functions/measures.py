@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .domains import month_label
+from .domains import month_label, quarter_label
 from .numeric import ratio
 
 
@@ -30,7 +30,7 @@ def time_dims(df: DataFrame, date_col: str) -> DataFrame:
             "year": F.year(d).cast("long"),
             "month": F.month(d).cast("long"),
             "month_name": month_label(F.month(d)),
-            "quarter": F.concat(F.lit("Q"), F.quarter(d).cast("string")),
+            "quarter": quarter_label(F.quarter(d)),
         }
     )
 
