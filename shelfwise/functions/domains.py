@@ -21,6 +21,7 @@ HEATMAP_TYPES = (
     "Classic T-Shirt", "Oversized T-Shirt", "Hoodie", "Sweatshirt", "Joggers", "Shorts", "Crop Top", "Tote Bag",
 )
 OVERSTOCKED, LOW_STOCK, STOCKOUT = "Overstocked", "Low Stock", "Stockout"
+URGENCY = (STOCKOUT, LOW_STOCK, OVERSTOCKED, "Normal", "Healthy")
 
 
 def position_in(values: Sequence[str], col: Column | str) -> Column:
@@ -29,6 +30,11 @@ def position_in(values: Sequence[str], col: Column | str) -> Column:
     return F.array_position(F.array(*[F.lit(v) for v in values]), col)
 
 
+def most_urgent(status: str) -> Column:
+    """Aggregate: the first of ``URGENCY`` among the statuses of a group. Keeps one number per group."""
+    return _label(URGENCY, F.min(F.nullif(position_in(URGENCY, status), F.lit(0).cast("long"))))
+
+
 def _label(names: Sequence[str], number: Column | str) -> Column:
     """The name at a 1-based number: a lookup in a literal, with no string built per row."""
     number = F.col(number) if isinstance(number, str) else number

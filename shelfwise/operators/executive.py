@@ -14,12 +14,13 @@ from ..sources.loader import delivered
 from .sales import kpi_by_year
 
 
-def executive_kpi(orders: DataFrame, marketing: DataFrame) -> DataFrame:
+def executive_kpi(orders: DataFrame, marketing: DataFrame, corrected: bool = False) -> DataFrame:
     """One row per year: revenue, orders, margin, returns, buyers, marketing ROAS, best category.
 
     The return rate counts delivered lines only. The lines are read once, under three grouping sets:
     orders and buyers of a year are the groups of the first two, everything else folds up from the
-    categories. Marketing joins as one row per year, so no row is multiplied.
+    categories. Marketing joins as one row per year, so no row is multiplied. ``aov_inr`` is the mean
+    line price, with ``corrected`` revenue per order.
     """
     facets = {"order_id": 0, "customer_id": 1, "category": 2}
     sums = {
@@ -63,7 +64,7 @@ def executive_kpi(orders: DataFrame, marketing: DataFrame) -> DataFrame:
             "year",
             lakhs("revenue").alias("net_revenue_lakhs"),
             "total_orders",
-            rnd(ratio("price", "price_n"), 0).alias("aov_inr"),
+            rnd(ratio("revenue", "total_orders") if corrected else ratio("price", "price_n"), 0).alias("aov_inr"),
             rnd(ratio("margin", "margin_n"), 1).alias("avg_gross_margin_pct"),
             rnd(ratio("discount", "discount_n"), 1).alias("avg_discount_pct"),
             "units_sold",

@@ -22,9 +22,16 @@ PRIORITIES = ("P1 - Urgent", "P2 - High", "P3 - Medium")
 CLEARANCE = "Clearance Recommended"
 
 
-def inventory_health_by_category(inventory: DataFrame) -> DataFrame:
-    """SKUs, stock, mean sell-through, velocity and cover per category; status counts are of SKU-sizes."""
+def inventory_health_by_category(inventory: DataFrame, corrected: bool = False) -> DataFrame:
+    """SKUs, stock, mean sell-through, velocity and cover per category.
+
+    The ``*_skus`` counts are of SKU-sizes, with ``corrected`` of SKUs that have such a size.
+    """
     status = F.col("stock_health_status")
+
+    def skus_with(label: str):
+        return F.countDistinct(F.when(status == label, F.col("product_id"))) if corrected else count_where(status == label)
+
     return (
         inventory.groupBy("category")
         .agg(
@@ -33,9 +40,9 @@ def inventory_health_by_category(inventory: DataFrame) -> DataFrame:
             rnd(F.avg("sell_through_pct"), 1).alias("avg_sell_through_pct"),
             rnd(F.avg("rate_of_sale_per_week"), 2).alias("avg_ros_per_week"),
             rnd(F.avg("weeks_of_cover"), 1).alias("avg_weeks_of_cover"),
-            count_where(status == STOCKOUT).alias("stockout_skus"),
-            count_where(status == LOW_STOCK).alias("low_stock_skus"),
-            count_where(status == OVERSTOCKED).alias("overstock_skus"),
+            skus_with(STOCKOUT).alias("stockout_skus"),
+            skus_with(LOW_STOCK).alias("low_stock_skus"),
+            skus_with(OVERSTOCKED).alias("overstock_skus"),
             lakhs(F.sum("stock_value_at_cost")).alias("stock_value_at_cost_lakhs"),
         )
         .orderBy(F.desc("avg_sell_through_pct"), "category")

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.domains import CHANNELS, DELIVERED, FESTIVE_MONTHS, QUARTERS, SALE_MONTHS, domain_frame
+from ..functions.domains import (
+    CHANNELS, DELIVERED, FESTIVE_MONTHS, QUARTERS, SALE_MONTHS, domain_frame, most_urgent,
+)
 from ..functions.numeric import (
     RUPEES_PER_THOUSAND, count_where, first_largest, first_smallest, growth_pct, lakhs, pct, ratio, rnd,
 )
@@ -20,10 +22,20 @@ from ..sources.loader import delivered
 MONTH = ("year", "month", "month_name")
 
 
-def monthly_revenue_mom(orders: DataFrame, status: str = DELIVERED) -> DataFrame:
-    """Revenue, orders and mean line price per month, with the change from the month before.
+def order_value(corrected: bool) -> Column:
+    """Aggregate: what the reports call average order value, the mean price of a line.
+
+    ``corrected`` is revenue per order.
+    """
+    if corrected:
+        return rnd(ratio(F.sum("revenue_inr"), F.countDistinct("order_id")), 0)
+    return rnd(F.avg("selling_price"), 0)
+
+
+def monthly_revenue_mom(orders: DataFrame, status: str = DELIVERED, corrected: bool = False) -> DataFrame:
+    """Revenue, orders and order value per month, with the change from the month before.
 
-    The change is taken from the rounded revenues shown next to it.
+    The change is taken from the rounded revenues shown next to it. ``corrected``: see ``order_value``.
     """
     calendar = Window.orderBy("year", "month")
     return (
@@ -31,7 +43,7 @@ def monthly_revenue_mom(orders: DataFrame, status: str = DELIVERED) -> DataFrame
         .agg(
             lakhs(F.sum("revenue_inr")).alias("revenue_lakhs"),
             F.countDistinct("order_id").alias("total_orders"),
-            rnd(F.avg("selling_price"), 0).alias("avg_order_value"),
+            order_value(corrected).alias("avg_order_value"),
         )
         .withColumn("prev_month_revenue", F.lag("revenue_lakhs").over(calendar))
         .withColumn("mom_growth_pct", growth_pct("revenue_lakhs", "prev_month_revenue"))
@@ -66,12 +78,13 @@ def category_contribution(orders: DataFrame, year: int = 2024) -> DataFrame:
 
 def top_products(
     orders: DataFrame, products: DataFrame, inventory: DataFrame, k: int = 20, order_by: str = "units",
+    corrected: bool = False,
 ) -> DataFrame:
     """The ``k`` best sellers by ``units`` or ``revenue``, with sell-through and stock status.
 
     Lines and stock are reduced to one row per product before the joins: no fan-out, and a product that
     holds a third of all lines is a single row when it is joined. ``stock_status`` is the
-    alphabetically last status over the sizes.
+    alphabetically last status over the sizes, with ``corrected`` the most urgent one.
     """
     sums = {
         "units_sold": F.sum("quantity"),
@@ -82,8 +95,9 @@ def top_products(
         "discount_n": F.count("discount_pct"),
     }
     sold = delivered(orders).groupBy("product_id").agg(*[c.alias(n) for n, c in sums.items()])
+    status = most_urgent("stock_health_status") if corrected else F.max("stock_health_status")
     stock = inventory.groupBy("product_id").agg(
-        F.max("sell_through_pct").alias("sell_through_pct"), F.max("stock_health_status").alias("stock_status")
+        F.max("sell_through_pct").alias("sell_through_pct"), status.alias("stock_status")
     )
     attributes = ["product_id", "product_name", "category", "product_type", "gender", "mrp"]
     key = {"units": F.desc("units_sold"), "revenue": F.desc("revenue")}[order_by]
@@ -103,8 +117,11 @@ def top_products(
     )
 
 
-def channel_performance(orders: DataFrame) -> DataFrame:
-    """Orders, units, revenue, price, discount, weighted margin and share of the year, per channel and year."""
+def channel_performance(orders: DataFrame, corrected: bool = False) -> DataFrame:
+    """Orders, units, revenue, price, discount, weighted margin and share of the year, per channel and year.
+
+    ``corrected``: see ``order_value``.
+    """
     in_year = Window.partitionBy("year")
     return (
         delivered(orders).groupBy("channel", "year")
@@ -113,7 +130,7 @@ def channel_performance(orders: DataFrame) -> DataFrame:
             F.sum("quantity").alias("units_sold"),
             F.sum("revenue_inr").alias("revenue"),
             F.sum("gross_profit_inr").alias("profit"),
-            rnd(F.avg("selling_price"), 0).alias("avg_order_value"),
+            order_value(corrected).alias("avg_order_value"),
             rnd(F.avg("discount_pct"), 1).alias("avg_discount_pct"),
         )
         .select(
@@ -180,12 +197,16 @@ def yoy_category_growth(orders: DataFrame, years: tuple[int, int] = (2023, 2024)
     )
 
 
-def rolling_ytd_revenue(orders: DataFrame, window: int = 3) -> DataFrame:
+def rolling_ytd_revenue(orders: DataFrame, window: int = 3, corrected: bool = False) -> DataFrame:
     """Monthly revenue, its moving average over the last ``window`` rows, and the year to date.
 
-    The average counts rows, not months: a month without sales widens its span.
+    The average counts rows, not months: a month without sales widens its span. With ``corrected`` it is
+    over the rows of the last ``window`` calendar months.
     """
-    trailing = Window.orderBy("year", "month").rowsBetween(1 - window, 0)
+    if corrected:
+        trailing = Window.orderBy(F.col("year") * 12 + F.col("month")).rangeBetween(1 - window, 0)
+    else:
+        trailing = Window.orderBy("year", "month").rowsBetween(1 - window, 0)
     to_date = Window.partitionBy("year").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
     return (
         delivered(orders).groupBy(*MONTH).agg(lakhs(F.sum("revenue_inr")).alias("revenue_lakhs"))
@@ -211,12 +232,14 @@ def festive_performance(orders: DataFrame, months: Sequence[int] = FESTIVE_MONTH
     )
 
 
-def kpi_by_year(orders: DataFrame, years: Sequence[int] = (2022, 2023, 2024)) -> DataFrame:
+def kpi_by_year(
+    orders: DataFrame, years: Sequence[int] = (2022, 2023, 2024), corrected: bool = False,
+) -> DataFrame:
     """The KPI table of the selected years; the return rate counts lines of every status.
 
     Growth compares with the calendar year before, selected or not; without sales in that year it is 0.
     A selected year without lines keeps its row. One pass over the lines: each year's row is handed on
-    to the next year as "previous".
+    to the next year as "previous". ``corrected``: see ``order_value``.
     """
     sold = F.col("order_status") == DELIVERED
 
@@ -256,8 +279,9 @@ def kpi_by_year(orders: DataFrame, years: Sequence[int] = (2022, 2023, 2024)) ->
             "year",
             lakhs("revenue", 1).alias("revenue_lakhs"),
             growth_pct("revenue", "prev_revenue").alias("yoy_growth_pct"),
-            "total_orders", "avg_order_value", "units_sold", "gross_margin_pct", "avg_discount_pct",
-            "return_rate_pct", "unique_buyers",
+            "total_orders",
+            rnd(ratio("revenue", "total_orders"), 0).alias("avg_order_value") if corrected else "avg_order_value",
+            "units_sold", "gross_margin_pct", "avg_discount_pct", "return_rate_pct", "unique_buyers",
         )
         .orderBy("year")
     )

@@ -376,6 +376,54 @@ def findings_summary(m):
     return executive.findings_summary(m.orders, m.inventory, m.customers, m.marketing_spend)
 
 
+# The intended reading of reports whose customary formula says something else
+
+
+@query
+def monthly_revenue_mom_corrected(m):
+    return sales.monthly_revenue_mom(m.orders, corrected=True)
+
+
+@query
+def top_products_corrected(m):
+    return rounded(sales.top_products(m.orders, m.products, m.inventory, corrected=True))
+
+
+@query
+def channel_performance_corrected(m):
+    return sales.channel_performance(m.orders, corrected=True)
+
+
+@query
+def rolling_ytd_revenue_corrected(m):
+    return sales.rolling_ytd_revenue(m.orders, corrected=True)
+
+
+@query
+def kpi_by_year_corrected(m):
+    return sales.kpi_by_year(m.orders, c.YEARS3, corrected=True)
+
+
+@query
+def inventory_health_by_category_corrected(m):
+    return inventory.inventory_health_by_category(m.inventory, corrected=True)
+
+
+@query
+def category_by_loyalty_corrected(m):
+    return customers.category_by_loyalty(m.orders, m.customers, corrected=True)
+
+
+@query
+def city_tier_mix_corrected(m):
+    return customers.city_tier_mix(m.orders, m.customers, corrected=True)
+
+
+@query
+def executive_kpi_corrected(m):
+    return executive.executive_kpi(m.orders, m.marketing_spend, corrected=True)
+
+
 # Measures and builders
 
 

@@ -114,6 +114,39 @@ def test_rolling_average_counts_rows_not_months(make):
     assert [r["ytd_revenue_lakhs"] for r in rows] == [3.0, 9.0, 21.0]
 
 
+def test_rolling_average_over_calendar_months(make):
+    lines = make("orders", [{"month": m, "month_name": "x", "revenue_inr": v * 1e5} for m, v in ((1, 3), (2, 6), (4, 12))])
+    rows = records(sales.rolling_ytd_revenue(lines, corrected=True))
+    assert [r["rolling_3m_avg_lakhs"] for r in rows] == [3.0, 4.5, 9.0]
+
+
+def test_order_value_per_order(make):
+    lines = make("orders", [
+        {"order_id": o, "selling_price": 10.0, "revenue_inr": v, "customer_id": "c1"} for o, v in (("o1", 30.0), ("o1", 50.0), ("o2", 20.0))
+    ])
+    base = make("customers", [{"customer_id": "c1", "city": "X", "city_tier": "T", "loyalty_segment": "Loyal"}])
+    spend = make("marketing_spend", [])
+    reports = [
+        ("avg_order_value", lambda k: sales.monthly_revenue_mom(lines, corrected=k)),
+        ("avg_order_value", lambda k: sales.channel_performance(lines, corrected=k)),
+        ("avg_order_value", lambda k: sales.kpi_by_year(lines, (2024,), corrected=k)),
+        ("avg_order_value", lambda k: customers.city_tier_mix(lines, base, corrected=k)),
+        ("avg_basket_value", lambda k: customers.category_by_loyalty(lines, base, corrected=k)),
+        ("aov_inr", lambda k: executive.executive_kpi(lines, spend, corrected=k)),
+    ]
+    for column, report in reports:
+        assert [records(report(k))[0][column] for k in (False, True)] == [10.0, 50.0]
+
+
+def test_skus_and_sku_sizes(make):
+    stock = make("inventory", [
+        {"product_id": p, "category": "A", "size": s, "stock_health_status": h}
+        for p, s, h in (("p1", "S", "Stockout"), ("p1", "M", "Stockout"), ("p2", "S", "Low Stock"))
+    ])
+    literal, fixed = (records(inventory.inventory_health_by_category(stock, corrected=k))[0] for k in (False, True))
+    assert (literal["stockout_skus"], fixed["stockout_skus"], fixed["low_stock_skus"], fixed["overstock_skus"]) == (2, 1, 1, 0)
+
+
 def test_return_rates_differ(make):
     lines = make("orders", [{"is_returned": True}, {"is_returned": True}])
     assert records(returns.return_rate_category_channel(lines))[0]["return_rate_pct"] == 200.0
@@ -139,6 +172,8 @@ def test_top_products_without_stock_row(make):
     assert [r["product_id"] for r in by_units] == ["p1", "p2"]
     assert (by_units[0]["sell_through_pct"], by_units[0]["stock_status"]) == (70.0, "Stockout")
     assert by_units[1]["sell_through_pct"] is None
+    urgent = records(sales.top_products(lines, catalogue, stock.replace("Stockout", "Low Stock"), corrected=True))
+    assert [r["stock_status"] for r in urgent] == ["Low Stock", None]
     by_revenue = records(sales.top_products(lines, catalogue, stock, k=1, order_by="revenue"))
     assert [r["product_id"] for r in by_revenue] == ["p2"]
 
