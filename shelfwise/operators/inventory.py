@@ -25,25 +25,26 @@ CLEARANCE = "Clearance Recommended"
 def inventory_health_by_category(inventory: DataFrame, corrected: bool = False) -> DataFrame:
     """SKUs, stock, mean sell-through, velocity and cover per category.
 
-    The ``*_skus`` counts are of SKU-sizes, with ``corrected`` of SKUs that have such a size.
+    The ``*_skus`` counts are of SKU-sizes, with ``corrected`` of SKUs that have such a size. Stock is first
+    summed per SKU: the one shuffle of its rows then serves every count of SKUs.
     """
-    status = F.col("stock_health_status")
-
-    def skus_with(label: str):
-        return F.countDistinct(F.when(status == label, F.col("product_id"))) if corrected else count_where(status == label)
-
+    means = {"sell_through_pct": ("avg_sell_through_pct", 1), "rate_of_sale_per_week": ("avg_ros_per_week", 2),
+             "weeks_of_cover": ("avg_weeks_of_cover", 1)}
+    counts = {"stockout_skus": STOCKOUT, "low_stock_skus": LOW_STOCK, "overstock_skus": OVERSTOCKED}
+    per_sku = inventory.groupBy("category", "product_id").agg(
+        F.sum("closing_stock").alias("closing"),
+        F.sum("stock_value_at_cost").alias("cost"),
+        *[agg(c).alias(f"{c}_{kind}") for c in means for kind, agg in (("sum", F.sum), ("n", F.count))],
+        *[count_where(F.col("stock_health_status") == status).alias(name) for name, status in counts.items()],
+    )
     return (
-        inventory.groupBy("category")
+        per_sku.groupBy("category")
         .agg(
-            F.countDistinct("product_id").alias("sku_count"),
-            F.sum("closing_stock").alias("total_closing_units"),
-            rnd(F.avg("sell_through_pct"), 1).alias("avg_sell_through_pct"),
-            rnd(F.avg("rate_of_sale_per_week"), 2).alias("avg_ros_per_week"),
-            rnd(F.avg("weeks_of_cover"), 1).alias("avg_weeks_of_cover"),
-            skus_with(STOCKOUT).alias("stockout_skus"),
-            skus_with(LOW_STOCK).alias("low_stock_skus"),
-            skus_with(OVERSTOCKED).alias("overstock_skus"),
-            lakhs(F.sum("stock_value_at_cost")).alias("stock_value_at_cost_lakhs"),
+            F.count("product_id").alias("sku_count"),
+            F.sum("closing").alias("total_closing_units"),
+            *[rnd(ratio(F.sum(f"{c}_sum"), F.sum(f"{c}_n")), n).alias(name) for c, (name, n) in means.items()],
+            *[(count_where(F.col(name) > 0) if corrected else F.sum(name)).alias(name) for name in counts],
+            lakhs(F.sum("cost")).alias("stock_value_at_cost_lakhs"),
         )
         .orderBy(F.desc("avg_sell_through_pct"), "category")
     )

@@ -6,13 +6,9 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Adaptive execution splits skewed join partitions. Forcing it lets a split happen even where
+# Adaptive execution (on by default) splits skewed join partitions. Forcing it lets a split happen even where
 # the aggregate after the join then needs one more shuffle: cheaper than a task with a third of the rows.
-ADAPTIVE_SETTINGS = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-}
+ADAPTIVE_SETTINGS = {"spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
 
 
 MB = 1 << 20
