@@ -52,4 +52,4 @@ def quarter_label(quarter: Column | str) -> Column:
 def domain_frame(spark: SparkSession, name: str, values: Sequence) -> DataFrame:
     """A fixed list as a DataFrame (``position``, ``name``): the row skeleton of a reindexed report."""
     items = F.array(*[F.lit(v) for v in values])
-    return spark.range(1).select(F.posexplode(items).alias("position", name))
+    return spark.range(0, 1, 1, 1).select(F.posexplode(items).alias("position", name))

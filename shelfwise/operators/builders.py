@@ -110,13 +110,14 @@ def channel_monthly_rollup(orders: DataFrame) -> DataFrame:
         count_where(F.col("is_returned")).alias("returned"),
     )
     earliest = (
-        orders.filter(F.col("order_date").isNotNull())
+        orders.dropna(subset=["customer_id", "order_date", "order_id"])
         .select("customer_id", "order_date", "order_id", "channel").distinct()
         .groupBy("customer_id").agg(F.min(F.struct("order_date", "order_id", "channel")).alias("first"))
         .select("first.*")
     )
     new = earliest.groupBy(month, "channel").agg(F.countDistinct("order_id").alias("new_customer_orders"))
-    months = totals.join(new, dims, "left").fillna(0, ["new_customer_orders"])
+    same = [totals[d].eqNullSafe(new[d]) for d in dims]
+    months = totals.join(new, same, "left").drop(*[new[d] for d in dims]).fillna(0, ["new_customer_orders"])
     return time_dims(months, "month_start_date").select(
         F.col("month_start_date").alias("date"), "year", "month", "month_name", "quarter", "channel",
         lakhs("gmv").alias("gmv_lakhs"),

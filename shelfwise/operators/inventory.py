@@ -43,7 +43,7 @@ def inventory_health_by_category(inventory: DataFrame, corrected: bool = False)
             F.count("product_id").alias("sku_count"),
             F.sum("closing").alias("total_closing_units"),
             *[rnd(ratio(F.sum(f"{c}_sum"), F.sum(f"{c}_n")), n).alias(name) for c, (name, n) in means.items()],
-            *[(count_where(F.col(name) > 0) if corrected else F.sum(name)).alias(name) for name in counts],
+            *[(count_where((F.col(name) > 0) & F.col("product_id").isNotNull()) if corrected else F.sum(name)).alias(name) for name in counts],
             lakhs(F.sum("cost")).alias("stock_value_at_cost_lakhs"),
         )
         .orderBy(F.desc("avg_sell_through_pct"), "category")

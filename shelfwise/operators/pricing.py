@@ -53,10 +53,12 @@ def discount_bands(
 def price_elasticity_proxy(orders: DataFrame) -> DataFrame:
     """Per category: mean discount and price, units, revenue, and the discount-quantity correlation.
 
-    The correlation is Pearson's, from central moments: raw sums of squares would lose their digits over
-    billions of lines. NULL where discount or quantity do not vary (``corr`` would raise there).
+    The correlation is Pearson's over all lines, a missing value counting as 0. It is taken from central
+    moments: raw sums of squares would lose their digits over billions of lines. NULL where discount
+    or quantity do not vary (``corr`` would raise there).
     """
-    spread = F.stddev_pop("discount_pct") * F.stddev_pop("quantity")
+    discount, quantity = (F.coalesce(c, F.lit(0.0)) for c in ("discount_pct", "quantity"))
+    spread = F.stddev_pop(discount) * F.stddev_pop(quantity)
     return (
         delivered(orders).groupBy("category")
         .agg(
@@ -64,7 +66,7 @@ def price_elasticity_proxy(orders: DataFrame) -> DataFrame:
             rnd(F.avg("selling_price"), 0).alias("avg_selling_price"),
             F.sum("quantity").alias("units_sold"),
             lakhs(F.sum("revenue_inr")).alias("revenue_lakhs"),
-            rnd(ratio(F.covar_pop("discount_pct", "quantity"), spread), 3).alias("discount_qty_correlation"),
+            rnd(ratio(F.covar_pop(discount, quantity), spread), 3).alias("discount_qty_correlation"),
         )
         .orderBy(F.desc("discount_qty_correlation"), "category")
     )

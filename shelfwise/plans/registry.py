@@ -24,6 +24,7 @@ from .session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+BUILDS: dict[str, Callable[[CanonicalModel], DataFrame]] = {}
 _MODELS: dict[tuple[str, int, str], CanonicalModel] = {}
 
 
@@ -44,7 +45,7 @@ def query(build: Callable[[CanonicalModel], DataFrame]) -> Query:
         return build(model)
 
     run.__doc__ = build.__doc__
-    QUERIES[build.__name__] = run
+    QUERIES[build.__name__], BUILDS[build.__name__] = run, build
     return run
 
 
