@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import gray_simhash, pairwise_quality, residual_packing, secret_ledger, spans, wu_manber
+from shelfwise.llm import (
+    compact_windows,
+    disclosure,
+    entropy_difference,
+    gray_simhash,
+    license_templates,
+    ngram_ratio,
+    pairwise_quality,
+    residual_packing,
+    secret_ledger,
+    spans,
+    wu_manber,
+)
 from shelfwise.llm.common import read_table
 
 
@@ -25,6 +37,18 @@ def op2_residual_packing(spark: SparkSession, folder: str) -> DataFrame:
     return residual_packing.pack(read_table(spark, folder, "documents"))
 
 
+def op3_ngram_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, base rules and the log-likelihood ratio's verdict for every document."""
+    judged = ngram_ratio.quality_rules(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
+
+
+def op4_entropy_difference(spark: SparkSession, folder: str) -> DataFrame:
+    """The losses of every document under the target's and the background's model."""
+    docs = read_table(spark, folder, "documents")
+    return entropy_difference.score(docs, *entropy_difference.train(docs, read_table(spark, folder, "labels")))
+
+
 def op5_pairwise_quality(spark: SparkSession, folder: str) -> DataFrame:
     """The quality score of every document, learnt outside the held-out quarter."""
     docs = read_table(spark, folder, "documents")
@@ -34,12 +58,25 @@ def op5_pairwise_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", pairwise_quality.held_out(F.col("doc_id")).alias("held_out"), score, accepted.alias("predicted"))
 
 
+def op6_disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    """Identifiers of every document: counts of the kinds, digest of their spans, and all spans with disclosing terms."""
+    found = disclosure.find_personal_data(read_table(spark, folder, "documents"), ["doc_id"])
+    counts = (spans.count_kind(F.col("found"), kind).alias(f"n_{kind}") for kind in disclosure.KINDS)
+    digest = F.sha2(spans.joined(F.col("found"), disclosure.KINDS), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, spans.joined(F.col("found")).alias("spans"))
+
+
 def op7_gray_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """The fingerprint and the component of every document."""
     groups = gray_simhash.near_duplicates(read_table(spark, folder, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words or more that other documents hold too."""
+    return compact_windows.repeated_passages(read_table(spark, folder, "documents"))
+
+
 def op9_wu_manber(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark passages in every document."""
     docs, benchmark = read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark")
@@ -51,8 +88,25 @@ def op9_wu_manber(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_license_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and accepted templates in every document."""
+    found, name = license_templates.scan_licenses(read_table(spark, folder, "documents"), ["doc_id"])
+    phrases, templates = F.col(name["phrases"]), F.col(name["templates"])
+    starts = F.transform(phrases, lambda m: m["first"])
+    return found.select(
+        "doc_id", "n_words", F.size(phrases).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), license_templates.labels_of(phrases).alias("base_labels"),
+        license_templates.labels_of(phrases, templates).alias("labels"),
+        license_templates.covered_share(F.col("n_words"), phrases, templates).alias("score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_residual_packing, op5_pairwise_quality, op7_gray_simhash, op9_wu_manber)
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_residual_packing, op3_ngram_ratio, op4_entropy_difference, op5_pairwise_quality, op6_disclosure,
+        op7_gray_simhash, op8_compact_windows, op9_wu_manber, op10_license_templates,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}

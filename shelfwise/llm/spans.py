@@ -6,7 +6,7 @@ where the lengths of all gaps and matches up to it add up to. Lengths count code
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,8 +38,10 @@ def _gaps_and_matches(body: Column, pattern: str, rank: int) -> Column:
     )
 
 
-def match_rows(texts: DataFrame, key: str, text: str, rules: list[Rule], wanted: Callable[[Rule], Column] | None = None) -> DataFrame:
-    """One row per span: key, kind, rank (of the kind in ``rules``), start, stop (end exclusive), match.
+def match_rows(
+    texts: DataFrame, key: str, text: str, rules: list[Rule], wanted: Callable[[Rule], Column] | None = None, carry: Iterable[str] = ()
+) -> DataFrame:
+    """One row per span: key, ``carry``, kind, rank (of the kind in ``rules``), start, stop (end exclusive), match.
 
     ``key`` names a row. ``wanted`` tells for which rows a rule is to be tried. Texts without a match, and null
     texts, give no row. Rows of a key stay in the partition they are in if that is by ``key``.
@@ -52,7 +54,7 @@ def match_rows(texts: DataFrame, key: str, text: str, rules: list[Rule], wanted:
         if wanted:
             hit = wanted(rule) & hit
         found.append(F.coalesce(F.when(hit, _gaps_and_matches(body, rule.pattern, rank)), nothing))
-    rows = texts.select(key, F.posexplode(F.concat(*found)).alias("nth", "found")).select(key, "nth", "found.*").filter("match is not null")
+    rows = texts.select(key, *carry, F.posexplode(F.concat(*found)).alias("nth", "found")).select(key, *carry, "nth", "found.*").filter("match is not null")
     in_order = Window.partitionBy(key, "rank").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("stop", F.sum(F.col("gap") + F.length("match")).over(in_order))
     holds, kinds = F.lit(True), F.lit(None).cast("string")
@@ -60,7 +62,7 @@ def match_rows(texts: DataFrame, key: str, text: str, rules: list[Rule], wanted:
         kinds = F.when(F.col("rank") == rank, F.lit(rule.kind)).otherwise(kinds)
         if rule.holds:
             holds = F.when(F.col("rank") == rank, rule.holds(F.col("match"))).otherwise(holds)
-    return rows.filter(holds).select(key, kinds.alias("kind"), "rank", (F.col("stop") - F.length("match")).alias("start"), "stop", "match")
+    return rows.filter(holds).select(key, *carry, kinds.alias("kind"), "rank", (F.col("stop") - F.length("match")).alias("start"), "stop", "match")
 
 
 def gathered(rows: DataFrame, key: str) -> DataFrame:
