@@ -109,4 +109,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _secret_sql() -> str:
+    """Gaps and matches by position, summed up; the rules as RE2 writes them."""
+    base = [r.kind for r in secret_ledger.BASE_RULES]
+    parts = []
+    for rank, rule in enumerate(secret_ledger.RULES):
+        pattern = rule.pattern.replace("}+", "}").replace("'", "''")
+        length = f"length(regexp_extract(match, '{pattern}', 2)) >= 6" if rule.kind == "assign" else "true"
+        parts.append(
+            f"SELECT row, kind, rank, stop - length(match) AS start, stop FROM (SELECT *, SUM(length(gap) + length(match)) OVER "
+            f"(PARTITION BY row ORDER BY nth) AS stop FROM (SELECT row, '{rule.kind}' AS kind, {rank} AS rank, unnest(m) AS match, "
+            f"unnest(gaps[1:len(m)]) AS gap, generate_subscripts(m, 1) AS nth FROM (SELECT row, regexp_extract_all(text, '{pattern}') AS m, "
+            f"string_split_regex(text, '{pattern}') AS gaps FROM docs))) WHERE {length}"
+        )
+    span = "kind || ':' || start || ':' || stop"
+    kinds = ", ".join(f"'{k}'" for k in base)
+    counts = ", ".join(f"COUNT(*) FILTER (kind = '{k}') AS n_{k}" for k in base)
+    return f"""WITH docs AS (SELECT ROW_NUMBER() OVER () AS row, doc_id, COALESCE(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(parts)})
+SELECT doc_id, {counts}, sha256(COALESCE(STRING_AGG({span}, ',' ORDER BY start, rank) FILTER (kind IN ({kinds})), '')) AS base_sha256,
+  COALESCE(STRING_AGG({span}, ',' ORDER BY start, rank), '') AS spans
+FROM docs LEFT JOIN spans USING (row) GROUP BY row, doc_id"""
+
+
+def _benchmark_sql() -> str:
+    """Windows of items joined with all runs of as many words of the documents."""
+    words = rf"regexp_extract_all(translate(COALESCE(text, ''), {_ASCII}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+b AS (SELECT item_id, w, LEAST(13, len(w)) AS n FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT *, unnest(generate_series(1, len(w) - n + 1)) AS i FROM b)),
+runs AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+found AS (SELECT doc_id, n, i, item_id FROM runs JOIN windows USING (n, g)),
+hit AS (SELECT doc_id, COUNT(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT doc_id, n, i FROM found)) GROUP BY doc_id),
+items AS (SELECT doc_id, COUNT(*) AS n_items, STRING_AGG(x, ',' ORDER BY x) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, sha256(COALESCE(names, '')) AS items_sha256,
+  COALESCE(n_hit, 0) > 0 AND 20 * COALESCE(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+#: What SQL can express; the others are tested against brute force.
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": _secret_sql(), "op9_wu_manber": _benchmark_sql()}
