@@ -1,0 +1,109 @@
+"""The corpus pipeline: each stage against brute force, and the run against its stages."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter, defaultdict
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+import __spark_entry__ as driver
+import corpus_pipeline
+from shelfwise.llm import pairwise_quality
+
+from .conftest import ODD, prose, same_rows
+from .test_near_duplicates import groups_by_hand, variants
+from .test_spans import SECRETS, base_secrets
+from .test_text_operators import check_packing, hits_by_hand
+
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+@pytest.fixture(scope="module")
+def items():
+    return [(i, prose(600 + i, 25)) for i in range(6)]
+
+
+@pytest.fixture(scope="module")
+def rows(items, small_docs):
+    junk = [(6000 + i, " ".join(f"{w}$$$" for w in prose(900 + i, 80).split())) for i in range(40)]
+    marked = [(6100 + i, f"{prose(950 + i, 60)} {items[i % 6][1]} {prose(980 + i, 60)}") for i in range(12)]
+    near = [(6200 + i, t) for i, t in enumerate(variants(3, 15))]
+    copies = [(6300 + i, near[4][1]) for i in range(40)] + [(6300, near[4][1])]
+    odd = [(i and 7000 + i, t) for i, t in ODD if i not in (10, 13)]
+    return small_docs + odd + junk + marked + near + copies + SECRETS
+
+
+@pytest.fixture(scope="module")
+def folder(spark, docs_of, folder_of, rows, items, small):
+    labels = [(i, 1, 0) for i, _ in rows if i and 6100 <= i < 6400] + [(6000 + i, 0, 0) for i in range(40)] + [(None, 0, 1), (6100, 1, None)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").union(spark.read.parquet(f"{small}/labels.parquet"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    return folder_of(documents=docs_of(rows).repartition(5), labels=labels, benchmark=benchmark)
+
+
+def test_stages_are_as_ordered():
+    assert list(STAGES) == ["quality", "near_duplicates", "decontamination", "secrets", "packing"]
+    assert "pipeline" in driver.queries() and ("pipeline" in driver.oracle_sql()) == (corpus_pipeline.ORACLE_SQL is not None)
+
+
+def pairs(df):
+    return [(r["doc_id"], r["text"]) for r in df.collect()]
+
+
+def test_every_stage_and_the_run(spark, folder, rows, items, docs_of):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+    good = STAGES["quality"](spark, docs, folder).cache()
+    model = pairwise_quality.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    scored, name = pairwise_quality.score_documents(docs, model, ["doc_id", "text"])
+    same_rows(pairs(good), [(r["doc_id"], r["text"]) for r in scored.collect() if r[name] >= 0.7])
+    left = {i for i, _ in pairs(good)}
+    assert not left & set(range(6000, 6040)) and set(range(6100, 6112)) <= left
+
+    single = STAGES["near_duplicates"](spark, good, folder).cache()
+    groups = defaultdict(set)
+    for (i, text), (_, code, group) in zip(pairs(good), groups_by_hand(pairs(good))):
+        groups[code if group is None else group].add((i is None, i or 0))
+    same_rows([(i,) for i, _ in pairs(single)], [(None if min(g)[0] else min(g)[1],) for g in groups.values()])
+
+    clean = STAGES["decontamination"](spark, single, folder).cache()
+    same_rows(pairs(clean), [(i, t) for i, t in pairs(single) if not hits_by_hand(t, items)[-1]])
+    assert not {i for i, _ in pairs(clean)} & set(range(6100, 6112))
+
+    safe = STAGES["secrets"](spark, clean, folder).cache()
+    before, after = dict(pairs(clean)), dict(pairs(safe))
+    assert Counter(before.keys()) == Counter(after.keys())
+    for i, text in before.items():
+        spans = base_secrets(text)
+        assert spans and not any(text[a:b] in after[i] for a, _, _, b in spans) or text == after[i] or i == 9105
+    for r in safe.collect():
+        assert r["text"] is None or "[SECRET]" not in r["text"] or r["n_chars"] == len(r["text"])
+
+    packed = STAGES["packing"](spark, safe, folder)
+    check_packing(pairs(safe), packed.collect(), library)
+    for stage in (good, single, clean, safe):
+        assert stage.columns == docs.columns
+
+    digest = lambda df: [(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect()]
+    same_rows(digest(corpus_pipeline.run(spark, folder)), digest(packed))
+
+
+def test_empty_tables(spark, docs_of, folder_of):
+    empty = folder_of(
+        documents=docs_of([]), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"),
+        benchmark=spark.createDataFrame([], "item_id long, text string"),
+    )
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_no_labels_and_no_benchmark_keep_documents(spark, docs_of, folder_of):
+    rows = [(i, prose(random.Random(i).randrange(10_000), 100)) for i in range(30)]
+    folder = folder_of(
+        documents=docs_of(rows), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"),
+        benchmark=spark.createDataFrame([], "item_id long, text string"),
+    )
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()} == {i for i, _ in rows}
