@@ -240,6 +240,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "fingerprint", F.coalesce("root", "fingerprint").alias("root"),
         F.when(F.col("root").isNull(), F.col("lowest")).otherwise(F.col("smallest")).alias("component_id"),
     )
+    # written, so that the join below shuffles both sides anew and can split a fingerprint of very many documents
+    whole = reliable(whole)
     return rows.join(whole, "fingerprint").select("doc_id", "content", "fingerprint", "root", "component_id")
 
 
