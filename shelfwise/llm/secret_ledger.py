@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import unused
+from shelfwise.llm.common import reliable, unused
 from shelfwise.llm.spans import EMPTY, Rule, gathered, match_rows, replaced
 
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -84,7 +84,8 @@ def scan_paths(versions: DataFrame, content: str, keep: list[str], **options) ->
 
     The new column avoids the names in ``keep``; it is the last one.
     """
-    findings = scan_blobs(versions, content, **options).findings
+    # written, so that the join below shuffles both sides anew and can split a blob of very many paths
+    findings = reliable(scan_blobs(versions, content, **options).findings)
     kept = versions.select(*(F.col(f"`{c}`") for c in keep))
     blob, found = unused(kept, "blob"), unused(kept, "found")
     paths = versions.select(*(F.col(f"`{c}`") for c in keep), blob_id(F.col(f"`{content}`")).alias(blob))
