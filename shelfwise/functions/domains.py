@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # They must equal the values in the data for right results.
 DELIVERED = "Delivered"
+CANCELLED = "Cancelled"
 SIZES = ("XS", "S", "M", "L", "XL", "XXL")
 CORE_SIZES = ("M", "L")
 QUARTERS = ("Q1", "Q2", "Q3", "Q4")
@@ -49,6 +50,25 @@ def quarter_label(quarter: Column | str) -> Column:
     return _label(QUARTERS, quarter)
 
 
+OTHER = "Other"
+
+
+def columns_for(df: DataFrame, name: str, values: Sequence[str] | None) -> tuple[list[str], Column]:
+    """The columns of a pivot on ``name`` and the column each row belongs to.
+
+    A given list gets ``Other`` for every value outside it. Without a list they are the values present, sorted; these
+    come to the driver, and more than ``spark.sql.pivotMaxValues`` of them are an error, as in Spark's own pivot.
+    """
+    if values is not None:
+        inside = F.col(name).isin(*values)
+        return [*values, OTHER], F.when(F.col(name).isNotNull(), F.when(inside, F.col(name)).otherwise(OTHER))
+    most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    present = [row[0] for row in df.select(name).dropna().distinct().orderBy(name).take(most + 1)]
+    if len(present) > most:
+        raise ValueError(f"over {most} values of {name}: name those that are to be columns")
+    return present, F.col(name)
+
+
 def domain_frame(spark: SparkSession, name: str, values: Sequence) -> DataFrame:
     """A fixed list as a DataFrame (``position``, ``name``): the row skeleton of a reindexed report."""
     items = F.array(*[F.lit(v) for v in values])

@@ -9,14 +9,20 @@ from .domains import month_label, quarter_label
 from .numeric import ratio
 
 
+def line_revenue(lines: DataFrame) -> DataFrame:
+    """Add selling price and revenue to order lines, from ``mrp``, ``discount_pct`` and ``quantity``."""
+    return lines.withColumn("selling_price", F.col("mrp") * (1.0 - F.col("discount_pct") / 100.0)).withColumn(
+        "revenue_inr", F.col("selling_price") * F.col("quantity")
+    )
+
+
 def line_measures(lines: DataFrame) -> DataFrame:
     """Add selling price, revenue, gross profit and margin % to order lines.
 
     Needs ``mrp``, ``discount_pct``, ``quantity`` and the unit ``cost_price``.
     """
     return (
-        lines.withColumn("selling_price", F.col("mrp") * (1.0 - F.col("discount_pct") / 100.0))
-        .withColumn("revenue_inr", F.col("selling_price") * F.col("quantity"))
+        line_revenue(lines)
         .withColumn("gross_profit_inr", F.col("revenue_inr") - F.col("cost_price") * F.col("quantity"))
         .withColumn("gross_margin_pct", ratio("gross_profit_inr", "revenue_inr") * 100.0)
     )

@@ -100,22 +100,23 @@ def channel_monthly_rollup(orders: DataFrame) -> DataFrame:
     directly and join as one row per month and channel.
     """
     dims = ["month_start_date", "channel"]
-    month = F.trunc("order_date", "month").alias("month_start_date")
-    totals = orders.groupBy(month, "channel").agg(
-        F.sum(F.col("mrp") * F.col("quantity")).alias("gmv"),
-        F.sum("revenue_inr").alias("net"),
-        F.countDistinct("order_id").alias("total_orders"),
-        F.sum("quantity").alias("units_sold"),
-        F.count(F.lit(1)).alias("lines"),
-        count_where(F.col("is_returned")).alias("returned"),
-    )
-    earliest = (
-        orders.dropna(subset=["customer_id", "order_date", "order_id"])
-        .select("customer_id", "order_date", "order_id", "channel").distinct()
-        .groupBy("customer_id").agg(F.min(F.struct("order_date", "order_id", "channel")).alias("first"))
-        .select("first.*")
-    )
-    new = earliest.groupBy(month, "channel").agg(F.countDistinct("order_id").alias("new_customer_orders"))
+    sums = {
+        "gmv": F.sum(F.col("mrp") * F.col("quantity")),
+        "net": F.sum("revenue_inr"),
+        "units_sold": F.sum("quantity"),
+        "lines": F.count(F.lit(1)),
+        "returned": count_where(F.col("is_returned")),
+    }
+    # Lines are read and shuffled once, to a row per order (and customer, day, channel); both results come from that.
+    placed = orders.groupBy(
+        F.trunc("order_date", "month").alias("month_start_date"), "channel", "order_id", "customer_id", "order_date"
+    ).agg(*[c.alias(n) for n, c in sums.items()])
+    totals = placed.groupBy(*dims).agg(F.countDistinct("order_id").alias("total_orders"), *[F.sum(n).alias(n) for n in sums])
+    # The sums stay in the row of the earliest order, so that Spark finds the same exchange below both results.
+    known = F.col("customer_id").isNotNull() & F.col("order_date").isNotNull() & F.col("order_id").isNotNull()
+    order = F.struct("order_date", "order_id", "channel", "month_start_date", *sums)
+    earliest = placed.groupBy("customer_id").agg(F.min(F.when(known, order)).alias("first")).filter("first is not null")
+    new = earliest.groupBy("first.month_start_date", "first.channel").agg(F.countDistinct("first.order_id").alias("new_customer_orders"))
     same = [totals[d].eqNullSafe(new[d]) for d in dims]
     months = totals.join(new, same, "left").drop(*[new[d] for d in dims]).fillna(0, ["new_customer_orders"])
     return time_dims(months, "month_start_date").select(

@@ -20,7 +20,8 @@ def executive_kpi(orders: DataFrame, marketing: DataFrame, corrected: bool = Fal
     The return rate counts delivered lines only. The lines are read once, under three grouping sets:
     orders and buyers of a year are the groups of the first two, everything else folds up from the
     categories. Marketing joins as one row per year, so no row is multiplied. ``aov_inr`` is the mean
-    line price, with ``corrected`` revenue per order.
+    line price, with ``corrected`` revenue per order. Lines without a category are a category, and the best
+    one is NULL where they have the highest revenue.
     """
     facets = {"order_id": 0, "customer_id": 1, "category": 2}
     sums = {
@@ -51,8 +52,7 @@ def executive_kpi(orders: DataFrame, marketing: DataFrame, corrected: bool = Fal
     yearly = folded.groupBy("year").agg(
         F.sum("total_orders").alias("total_orders"),
         F.sum("unique_buyers").alias("unique_buyers"),
-        first_largest(F.when(in_category & F.col("category").isNotNull(), F.col("revenue")), "category")
-        .alias("top_category_by_rev"),
+        first_largest(F.when(in_category, F.col("revenue")), "category").alias("top_category_by_rev"),
         *[F.sum(F.when(in_category, F.col(n))).alias(n) for n in sums],
     )
     spend = marketing.groupBy("year").agg(
@@ -83,7 +83,7 @@ def executive_dashboard(orders: DataFrame, years: Sequence[int] = (2022, 2023, 2
         "revenue_lakhs", "total_orders", "avg_order_value", "gross_margin_pct", "avg_discount_pct",
         "return_rate_pct", "unique_buyers",
     ]
-    kpis = kpi_by_year(orders, years).select("year", *[F.col(m).cast("double").alias(m) for m in metrics])
+    kpis = kpi_by_year(orders, years, growth=False).select("year", *[F.col(m).cast("double").alias(m) for m in metrics])
     return kpis.unpivot("year", metrics, "metric", "value").select("metric", "year", "value")
 
 
@@ -93,7 +93,7 @@ def findings_summary(
     """One row with the headline numbers of the four areas.
 
     Each source is read once and reduced to one row; the four rows are stacked and folded into one
-    (MAX skips the NULLs of the other areas).
+    (MAX skips the NULLs of the other areas). What has no name is never the best.
     """
     # Revenue by category and by channel from one pass: (category, channel) sums, seen from both sides.
     sides = F.array(
@@ -106,10 +106,11 @@ def findings_summary(
         .groupBy("side", "name").agg(F.sum("revenue").alias("revenue"))
     )
     of_category, of_channel = (F.when(F.col("side") == s, F.col("revenue")) for s in ("category", "channel"))
+    named = F.col("name").isNotNull()
     sales = revenue.agg(
         lakhs(F.sum(of_category), 1).alias("total_revenue_lakhs"),
-        first_largest(of_category, "name").alias("best_category"),
-        first_largest(of_channel, "name").alias("best_channel"),
+        first_largest(F.when(named, of_category), "name").alias("best_category"),
+        first_largest(F.when(named, of_channel), "name").alias("best_channel"),
     )
     stock = inventory.agg(
         rnd(F.avg("sell_through_pct"), 1).alias("avg_sell_through_pct"),
@@ -121,7 +122,7 @@ def findings_summary(
         pct(count_where(F.col("loyalty_segment") == "Champion"), F.count(F.lit(1))).alias("champion_pct"),
     )
     media = (
-        marketing.groupBy("marketing_channel")
+        marketing.dropna(subset=["marketing_channel"]).groupBy("marketing_channel")
         .agg(F.sum("attributed_revenue_lakhs").alias("revenue"), F.sum("spend_inr_lakhs").alias("spend"))
         .agg(
             rnd(ratio(F.sum("revenue"), F.sum("spend")), 2).alias("blended_roas"),

@@ -134,9 +134,12 @@ def sell_through_by_type_gender(inventory: DataFrame, products: DataFrame) -> Da
 
 
 def sell_through_matrix(inventory: DataFrame, types: Sequence[str] = HEATMAP_TYPES) -> DataFrame:
-    """Mean sell-through, category by product type. ``types`` selects and orders the columns."""
+    """Mean sell-through, category by product type. ``types`` selects and orders the columns.
+
+    Stock without a category is left out.
+    """
     return (
-        inventory.groupBy("category").pivot("product_type", list(types))
+        inventory.dropna(subset=["category"]).groupBy("category").pivot("product_type", list(types))
         .agg(rnd(F.avg("sell_through_pct"), 1)).orderBy("category")
     )
 

@@ -29,13 +29,13 @@ def marketing_roi_year(
 ) -> DataFrame:
     """One year per channel: spend, revenue, mean CAC, ROAS with its tier, and the rank by spend.
 
-    ``below_floor`` marks a ROAS under the first tier limit.
+    ``below_floor`` marks a ROAS under the first tier limit. Spend without a channel is left out.
     """
     floor, good = tiers
     roas = F.col("roas")
     by_spend = Window.orderBy(F.desc("spend_lakhs"), "marketing_channel")
     return (
-        marketing.filter(F.col("year") == year).groupBy("marketing_channel")
+        marketing.filter((F.col("year") == year) & F.col("marketing_channel").isNotNull()).groupBy("marketing_channel")
         .agg(
             F.sum("spend_inr_lakhs").alias("spend_lakhs"),
             F.sum("attributed_revenue_lakhs").alias("revenue_lakhs"),

@@ -98,7 +98,10 @@ def licensed_margin(orders: DataFrame, products: DataFrame) -> DataFrame:
 def discount_margin_quadrants(
     orders: DataFrame, disc_cut: float = 15, gm_cut: float = 50, scale: float = 600,
 ) -> DataFrame:
-    """Mean discount and margin and revenue per category and channel, with bubble size and quadrant."""
+    """Mean discount and margin and revenue per category and channel, with bubble size and quadrant.
+
+    Lines without a category or channel are left out.
+    """
     everything = Window.partitionBy()
     high_discount, high_margin = F.col("avg_discount_pct") > disc_cut, F.col("avg_margin_pct") >= gm_cut
     quadrant = case(
@@ -108,7 +111,7 @@ def discount_margin_quadrants(
         (~high_discount & ~high_margin, "Low Disc, Low Margin"),
     )
     return (
-        delivered(orders).groupBy("category", "channel")
+        delivered(orders).dropna(subset=["category", "channel"]).groupBy("category", "channel")
         .agg(
             F.avg("discount_pct").alias("avg_discount_pct"),
             F.avg("gross_margin_pct").alias("avg_margin_pct"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.domains import CHANNELS
+from ..functions.domains import columns_for
 from ..functions.numeric import count_where, lakhs, pct, rnd
 
 
@@ -31,10 +31,17 @@ def return_rate_category_channel(orders: DataFrame) -> DataFrame:
     )
 
 
-def return_rate_matrix(orders: DataFrame, channels: Sequence[str] = CHANNELS) -> DataFrame:
-    """Returned lines in % of lines, category by channel."""
+def return_rate_matrix(orders: DataFrame, channels: Sequence[str] | None = None) -> DataFrame:
+    """Returned lines in % of lines, category by channel.
+
+    ``channels`` fixes the columns and their order; lines of any other channel are in ``Other``. Without it the
+    channels that are present are the columns, found by a job of its own. Lines without a category or channel
+    are left out.
+    """
+    known = orders.dropna(subset=["category", "channel"])
+    channels, named = columns_for(known, "channel", channels)
     return (
-        orders.groupBy("category").pivot("channel", list(channels))
+        known.withColumn("channel", named).groupBy("category").pivot("channel", channels)
         .agg(rnd(F.avg(F.col("is_returned").cast("int")) * 100.0, 1)).orderBy("category")
     )
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.domains import (
-    CHANNELS, DELIVERED, FESTIVE_MONTHS, QUARTERS, SALE_MONTHS, domain_frame, most_urgent,
+    DELIVERED, FESTIVE_MONTHS, QUARTERS, SALE_MONTHS, columns_for, domain_frame, most_urgent,
 )
 from ..functions.numeric import (
     RUPEES_PER_THOUSAND, count_where, first_largest, first_smallest, growth_pct, lakhs, pct, ratio, rnd,
@@ -168,7 +168,7 @@ def quarterly_category(orders: DataFrame, pivot: bool = False) -> DataFrame:
 
 
 def yoy_category_growth(orders: DataFrame, years: tuple[int, int] = (2023, 2024)) -> DataFrame:
-    """Revenue and units of two years side by side, for categories sold in both.
+    """Revenue and units of two years side by side, for categories sold in both; lines without one are left out.
 
     One pass with conditional sums in place of a self-join. Growth uses the rounded revenues.
     """
@@ -187,7 +187,7 @@ def yoy_category_growth(orders: DataFrame, years: tuple[int, int] = (2023, 2024)
             count_where(F.col("year") == old).alias("lines_old"),
             count_where(F.col("year") == new).alias("lines_new"),
         )
-        .filter((F.col("lines_old") > 0) & (F.col("lines_new") > 0))
+        .filter(F.col("category").isNotNull() & (F.col("lines_old") > 0) & (F.col("lines_new") > 0))
         .select(
             "category", f"rev_{old}", f"rev_{new}",
             growth_pct(f"rev_{new}", f"rev_{old}").alias("yoy_growth_pct"),
@@ -233,22 +233,25 @@ def festive_performance(orders: DataFrame, months: Sequence[int] = FESTIVE_MONTH
 
 
 def kpi_by_year(
-    orders: DataFrame, years: Sequence[int] = (2022, 2023, 2024), corrected: bool = False,
+    orders: DataFrame, years: Sequence[int] = (2022, 2023, 2024), corrected: bool = False, growth: bool = True,
 ) -> DataFrame:
     """The KPI table of the selected years; the return rate counts lines of every status.
 
     Growth compares with the calendar year before, selected or not; without sales in that year it is 0.
     A selected year without lines keeps its row. One pass over the lines: each year's row is handed on
-    to the next year as "previous". ``corrected``: see ``order_value``.
+    to the next year as "previous". Of a year that is not selected only the revenue is summed, and without
+    ``growth`` no such year is read (the column is left out). ``corrected``: see ``order_value``.
     """
-    sold = F.col("order_status") == DELIVERED
+    delivered_line = F.col("order_status") == DELIVERED
+    selected = F.col("year").isin(*years)
+    sold = delivered_line & selected if growth else delivered_line
 
     def if_sold(col: str):
         return F.when(sold, F.col(col))
 
     metrics = {
-        "revenue": F.sum(if_sold("revenue_inr")),
-        "sold_lines": count_where(sold),
+        "revenue": F.sum(F.when(delivered_line, F.col("revenue_inr"))),
+        "sold_lines": count_where(delivered_line),
         "total_orders": F.countDistinct(if_sold("order_id")),
         "avg_order_value": rnd(F.avg(if_sold("selling_price")), 0),
         "units_sold": F.sum(if_sold("quantity")),
@@ -257,7 +260,7 @@ def kpi_by_year(
         "return_rate_pct": rnd(F.avg(F.col("is_returned").cast("int")) * 100.0, 1),
         "unique_buyers": F.countDistinct(if_sold("customer_id")),
     }
-    wanted = sorted({y + d for y in years for d in (-1, 0)})
+    wanted = sorted({y + d for y in years for d in ((-1, 0) if growth else (0,))})
     yearly = orders.filter(F.col("year").isin(*wanted)).groupBy("year").agg(*[c.alias(n) for n, c in metrics.items()])
     own = F.col("shift") == 0
     shifted = (
@@ -271,7 +274,7 @@ def kpi_by_year(
     )
     skeleton = domain_frame(orders.sparkSession, "year", list(years)).select(F.col("year").cast("long"))
     counts = ["total_orders", "units_sold", "unique_buyers"]
-    return (
+    table = (
         skeleton.join(shifted, "year", "left")
         .fillna(0, ["revenue", *counts])
         .withColumn("prev_revenue", F.coalesce("prev_revenue", "revenue"))
@@ -285,12 +288,13 @@ def kpi_by_year(
         )
         .orderBy("year")
     )
+    return table if growth else table.drop("yoy_growth_pct")
 
 
 def monthly_trend(orders: DataFrame) -> DataFrame:
-    """Revenue in lakhs per month, unrounded."""
+    """Revenue in lakhs per month, unrounded; lines without a month are left out."""
     return (
-        delivered(orders).groupBy(*MONTH)
+        delivered(orders).dropna(subset=list(MONTH)).groupBy(*MONTH)
         .agg((F.sum("revenue_inr") / 1e5).alias("revenue_lakhs")).orderBy("year", "month")
     )
 
@@ -316,27 +320,33 @@ def calendar_bands(
 
 
 def category_revenue_margin(orders: DataFrame, target: float = 50) -> DataFrame:
-    """Revenue and the plain mean of line margins per category, with a flag for reaching ``target`` %."""
+    """Revenue and the plain mean of line margins per category, with a flag for reaching ``target`` %.
+
+    Lines without a category are left out.
+    """
     return (
-        delivered(orders).groupBy("category")
+        delivered(orders).dropna(subset=["category"]).groupBy("category")
         .agg((F.sum("revenue_inr") / 1e5).alias("revenue_lakhs"), F.avg("gross_margin_pct").alias("avg_margin_pct"))
         .withColumn("meets_target", F.col("avg_margin_pct") >= float(target))
         .orderBy(F.desc("revenue_lakhs"), "category")
     )
 
 
-def channel_mix_pivot(orders: DataFrame, channels: Sequence[str] = CHANNELS) -> DataFrame:
+def channel_mix_pivot(orders: DataFrame, channels: Sequence[str] | None = None) -> DataFrame:
     """Year by channel: revenue in lakhs (column = channel) and share of the year (``<channel>_share_pct``).
 
-    The channel list is fixed beforehand: no extra job to find it, and a stable schema. A channel without
-    sales is 0; shares are of the revenue of all channels, listed or not.
+    ``channels`` fixes the columns and their order; revenue of any other channel is in ``Other``. Without it the
+    channels that are present are the columns, found by a job of its own. A channel without sales is 0. Lines
+    without a channel are left out, of the shares too.
     """
-    in_lakhs = F.col("revenue_inr") / 1e5
-    yearly = delivered(orders).groupBy("year").agg(
-        F.sum(in_lakhs).alias("total"),
-        *[F.sum(F.when(F.col("channel") == c, in_lakhs).otherwise(0.0)).alias(c) for c in channels],
+    sold = delivered(orders).filter(F.col("channel").isNotNull())
+    channels, named = columns_for(sold, "channel", channels)
+    yearly = sold.groupBy("year", named.alias("channel")).agg((F.sum("revenue_inr") / 1e5).alias("lakhs"))
+    pivoted = yearly.groupBy("year").agg(
+        F.sum("lakhs").alias("total"),
+        *[F.coalesce(F.sum(F.when(F.col("channel") == c, F.col("lakhs"))), F.lit(0.0)).alias(c) for c in channels],
     )
-    return yearly.select(
+    return pivoted.select(
         "year",
         *[F.col(f"`{c}`") for c in channels],
         *[(ratio(F.col(f"`{c}`"), "total") * 100.0).alias(f"{c}_share_pct") for c in channels],
@@ -346,7 +356,8 @@ def channel_mix_pivot(orders: DataFrame, channels: Sequence[str] = CHANNELS) ->
 def hero_skus(orders: DataFrame, products: DataFrame, k: int = 15, name_len: int = 35) -> DataFrame:
     """The ``k`` products with the highest revenue; category as recorded on the order lines.
 
-    Lines are reduced to product and category before the catalogue join.
+    Lines are reduced to product and category before the catalogue join. Products without a name and lines
+    without a category are left out.
     """
     sums = {
         "revenue": F.sum("revenue_inr"),
@@ -358,6 +369,7 @@ def hero_skus(orders: DataFrame, products: DataFrame, k: int = 15, name_len: int
     return (
         sold.join(products.select("product_id", "product_name"), "product_id")
         .groupBy("product_id", "product_name", "category").agg(*[F.sum(n).alias(n) for n in sums])
+        .dropna(subset=["product_name", "category"])
         .orderBy(F.desc("revenue"), "product_id", "product_name", "category")
         .limit(k)
         .select(
@@ -375,11 +387,12 @@ def yoy_growth_pivot(orders: DataFrame, years: tuple[int, int] = (2023, 2024)) -
     """Category revenue (lakhs) of two years and its growth, unrounded.
 
     A missing year counts as 0: a category gone in the second year shows -100, one new in it has
-    no base and is left out.
+    no base and is left out, and so are lines without a category.
     """
     old, new = (str(y) for y in years)
     return (
-        delivered(orders).filter(F.col("year").isin(*years)).groupBy("category").pivot("year", list(years))
+        delivered(orders).filter(F.col("year").isin(*years) & F.col("category").isNotNull())
+        .groupBy("category").pivot("year", list(years))
         .agg(F.sum("revenue_inr") / 1e5).fillna(0.0)
         .withColumn("growth_pct", ratio(F.col(new) - F.col(old), old) * 100.0)
         .dropna(subset=["growth_pct"])

@@ -33,11 +33,11 @@ def seasonality_index_avg(orders: DataFrame, peak: float = 1.2, trough: float =
 def seasonality_index_sum(orders: DataFrame, peak: float = 1.10, trough: float = 0.88) -> DataFrame:
     """Total revenue per calendar month over all years against the mean of the months.
 
-    The label is decided on the rounded index.
+    The label is decided on the rounded index. Lines without a month are left out.
     """
     index = F.col("seasonality_index")
     return (
-        delivered(orders).groupBy("month").agg((F.sum("revenue_inr") / 1e5).alias("revenue_lakhs"))
+        delivered(orders).dropna(subset=["month"]).groupBy("month").agg((F.sum("revenue_inr") / 1e5).alias("revenue_lakhs"))
         .withColumn("month_name", month_label("month"))
         .withColumn("seasonality_index", rnd(ratio("revenue_lakhs", _month_mean("revenue_lakhs")), 3))
         .withColumn("demand_label", F.when(index > peak, "Peak").when(index > trough, "Normal").otherwise("Trough"))

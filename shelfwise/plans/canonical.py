@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.domains import SIZES, position_in
-from ..functions.measures import line_measures, marketing_efficiency, product_margin, time_dims
+from ..functions.domains import CANCELLED, SIZES, position_in
+from ..functions.measures import line_measures, line_revenue, marketing_efficiency, product_margin, time_dims
 from ..functions.numeric import case
 from ..operators.builders import inventory_snapshot, stock_grid
 from ..sources.loader import Tables
@@ -29,6 +29,10 @@ TYPES = tuple(f"Brand#{i}" for i in range(1, 9))
 _SCHEMAS: dict[tuple[str, str], StructType] = {}
 
 
+def _span(years: tuple[int, ...]) -> tuple[datetime.date, datetime.date]:
+    return datetime.date(min(years), 1, 1), datetime.date(max(years), 12, 31)
+
+
 def _cost_share() -> Column:
     """Unit cost as a share of the price, by part size."""
     return 0.3 + 0.01 * (F.col("p_size") % 10)
@@ -48,53 +52,82 @@ class CanonicalModel:
             _SCHEMAS[key] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(_SCHEMAS[key]).parquet(path)
 
-    @cached_property
-    def input_bytes(self) -> int:
-        """File size of the two big tables, from the optimizer's statistics (a listing, no job)."""
-        sizes = (self.raw(t)._jdf.queryExecution().analyzed().stats().sizeInBytes() for t in ("lineitem", "orders"))
-        return sum(int(str(size)) for size in sizes)
-
-    @cached_property
-    def order_lines(self) -> DataFrame:
-        """Order lines before the derived columns.
+    def _lines(
+        self, placed: bool, costed: bool, part_first: bool = False, dates: tuple[datetime.date, datetime.date] | None = None
+    ) -> DataFrame:
+        """Order lines, ``placed`` with their order, ``costed`` with their part: only what a report reads is joined.
 
-        The orders join comes first, so that a status filter on orders drops lines before they
-        meet ``part``.
+        Joins are outer, so a line whose order, part or supplier is missing still counts wherever that is not asked
+        for; a filter on a column of the order makes its join an inner one. Orders come first, so that a filter on
+        their status drops lines before these meet their part. With ``part_first`` orders come last, for reports on
+        lines of every status: lines are then partitioned by order, and distinct orders are counted without another
+        shuffle. ``dates`` limits the order dates (both included), for the scan to prune.
         """
-        size = case(*[(F.col("l_linenumber") == i, s) for i, s in enumerate(SIZES, 1)], default="M")
-        # Nested two-way cases on null-safe tests: a filter on one status folds to one comparison
-        # and is pushed into the orders scan.
-        status = case(
-            (F.col("o_orderstatus").eqNullSafe("F"), "Delivered"),
-            default=case((F.col("o_orderstatus").eqNullSafe("P"), "Returned"), default="Cancelled"),
-        )
         unit_price = F.col("l_extendedprice") / F.col("l_quantity")
-        lines = (
-            self.raw("lineitem")
-            .join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(self.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
-        )
-        return lines.select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("o_orderdate").cast("date").alias("order_date"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("p_type").alias("category"),
-            F.col("p_brand").alias("product_type"),
-            F.col("o_orderpriority").alias("channel"),
-            size.alias("size"),
-            F.col("l_quantity").cast("long").alias("quantity"),
-            unit_price.alias("mrp"),
+        columns = {
+            "order_id": F.col("l_orderkey"),
+            "product_id": F.col("l_partkey"),
+            "size": case(*[(F.col("l_linenumber") == i, s) for i, s in enumerate(SIZES, 1)], default="M"),
+            "quantity": F.col("l_quantity").cast("long"),
+            "mrp": unit_price,
             # Nearest whole percent; ``round`` on doubles goes through BigDecimal for every row.
-            F.floor(F.col("l_discount") * 400.0 + 0.5).cast("double").alias("discount_pct"),
-            (unit_price * _cost_share()).alias("cost_price"),
-            status.alias("order_status"),
-            (F.col("l_returnflag") == "R").alias("is_returned"),
-        )
+            "discount_pct": F.floor(F.col("l_discount") * 400.0 + 0.5).cast("double"),
+            "is_returned": F.col("l_returnflag") == "R",
+        }
+        lines = self.raw("lineitem")
+        part = lambda lines: lines.join(self.raw("part"), F.col("l_partkey") == F.col("p_partkey"), "left")
+        if costed:
+            columns |= {"category": F.col("p_type"), "product_type": F.col("p_brand"), "cost_price": unit_price * _cost_share()}
+        if costed and part_first:
+            lines = part(lines)
+        if placed:
+            orders, day = self.raw("orders"), F.col("o_orderdate").cast("date")
+            if dates:
+                orders = orders.filter((day >= F.lit(dates[0])) & (day <= F.lit(dates[1])))
+            lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "inner" if dates else "left")
+            # Nested two-way cases on null-safe tests: a filter on one status folds to one comparison
+            # and is pushed into the orders scan.
+            status = case(
+                (F.col("o_orderstatus").eqNullSafe("F"), "Delivered"),
+                default=case((F.col("o_orderstatus").eqNullSafe("P"), "Returned"), default=CANCELLED),
+            )
+            columns |= {
+                "order_date": day, "customer_id": F.col("o_custkey"), "channel": F.col("o_orderpriority"), "order_status": status,
+            }
+        if costed and not part_first:
+            lines = part(lines)
+        lines = lines.select(*[c.alias(n) for n, c in columns.items()])
+        lines = line_measures(lines).drop("cost_price") if costed else line_revenue(lines)
+        return time_dims(lines, "order_date") if placed else lines
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """Order lines alone: product, size, quantity, money, returned or not."""
+        return self._lines(placed=False, costed=False)
+
+    @cached_property
+    def costed(self) -> DataFrame:
+        """Lines with category, type, profit and margin of their part."""
+        return self._lines(placed=False, costed=True)
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        """Lines with date, customer, channel and status of their order."""
+        return self._lines(placed=True, costed=False)
 
     @cached_property
     def orders(self) -> DataFrame:
-        return line_measures(time_dims(self.order_lines, "order_date")).drop("cost_price")
+        """Lines with both: the model's table of order lines."""
+        return self._lines(placed=True, costed=True)
+
+    @cached_property
+    def orders_of_every_status(self) -> DataFrame:
+        """The same rows, joined for reports that have no use for the status."""
+        return self._lines(placed=True, costed=True, part_first=True)
+
+    def orders_of(self, *years: int) -> DataFrame:
+        """``orders`` from the first to the last of the years, as a date range that reaches the scan."""
+        return self._lines(placed=True, costed=True, dates=_span(years))
 
     @cached_property
     def products(self) -> DataFrame:
@@ -124,8 +157,8 @@ class CanonicalModel:
         )
         return (
             self.raw("customer")
-            .join(self.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            .join(self.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+            .join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
             .join(lifetime, F.col("c_custkey") == F.col("o_custkey"), "left")
             .select(
                 F.col("c_custkey").alias("customer_id"),
@@ -150,12 +183,21 @@ class CanonicalModel:
 
     @cached_property
     def inventory(self) -> DataFrame:
-        return inventory_snapshot(
-            self.stock, self.orders, as_of=STOCK_AS_OF, since=STOCK_SINCE, weeks=STOCK_WEEKS
-        )
+        """Stock after what was dispatched: all lines but those of cancelled orders."""
+        dispatched = self.placed.filter(F.col("order_status") != CANCELLED)
+        return inventory_snapshot(self.stock, dispatched, as_of=STOCK_AS_OF, since=STOCK_SINCE, weeks=STOCK_WEEKS)
 
     @cached_property
     def marketing_spend(self) -> DataFrame:
+        return self._marketing(self.raw("lineitem"))
+
+    def marketing_spend_of(self, *years: int) -> DataFrame:
+        """``marketing_spend`` from the first to the last of the years, as a date range that reaches the scan."""
+        first, last = _span(years)
+        day = F.col("l_shipdate").cast("date")
+        return self._marketing(self.raw("lineitem").filter((day >= F.lit(first)) & (day <= F.lit(last))))
+
+    def _marketing(self, lineitem: DataFrame) -> DataFrame:
         """Spend and attribution per month and region of the supplier.
 
         Lines are summed per supplier and month before the joins: a supplier with very many lines
@@ -163,7 +205,7 @@ class CanonicalModel:
         """
         price = F.col("l_extendedprice")
         per_supplier = (
-            self.raw("lineitem")
+            lineitem
             .groupBy("l_suppkey", F.trunc("l_shipdate", "month").alias("month_start_date"))
             .agg(
                 F.sum(price * (F.col("l_tax") + 0.01)).alias("spend"),
@@ -174,9 +216,9 @@ class CanonicalModel:
         )
         monthly = (
             per_supplier
-            .join(self.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-            .join(self.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            .join(self.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+            .join(self.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+            .join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
             .groupBy("month_start_date", F.col("r_name").alias("marketing_channel"))
             .agg(
                 (F.sum("spend") / 1e5).alias("spend_inr_lakhs"),

@@ -18,7 +18,9 @@ MOST_RANGES = 8192
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number in the lower 33 bits
 
 
-def global_ntiles(df: DataFrame, id_col: str, orderings: Mapping[str, Column], buckets: int) -> DataFrame:
+def global_ntiles(
+    df: DataFrame, id_col: str, orderings: Mapping[str, Column], buckets: int, most_ranges: int = MOST_RANGES
+) -> DataFrame:
     """``id_col`` and, per ordering, its bigint bucket ``<name>`` and its key ``<name>_key``.
 
     The buckets are those of ``ntile(buckets)``. ``orderings`` maps a name to the numeric key to
@@ -31,8 +33,11 @@ def global_ntiles(df: DataFrame, id_col: str, orderings: Mapping[str, Column], b
     3. the position inside the partition is fixed by a reliable checkpoint. The range bounds come
        from a sample: a recomputed layout could differ, a checkpointed one survives lost executors;
     4. rows before each partition = running sum over the per-partition counts (at most
-       ``MOST_RANGES`` plus one per ordering, whatever the data, hence the broadcast);
+       ``most_ranges`` plus one per ordering, whatever the data, hence the broadcast);
     5. bucket by arithmetic from the global rank, then back to one row per id.
+
+    Step 3 is a job that runs when this is called. ``most_ranges`` bounds the number of ranges, whatever the number of
+    shuffle partitions; results do not depend on it.
     """
     ensure_checkpoint_dir(df.sparkSession)
     names = list(orderings)
@@ -40,7 +45,7 @@ def global_ntiles(df: DataFrame, id_col: str, orderings: Mapping[str, Column], b
     stacked = df.select(F.col(id_col), F.posexplode(keys).alias("ordering", "key"))
     order = [F.asc("ordering"), F.asc_nulls_last("key"), F.asc(id_col)]
     # Adaptive execution merges small ranges unless their number is given, so it is given only at the cap.
-    capped = [MOST_RANGES] if shuffle_partitions(df.sparkSession) > MOST_RANGES else []
+    capped = [most_ranges] if shuffle_partitions(df.sparkSession) > most_ranges else []
     placed = (
         stacked.repartitionByRange(*capped, *order)
         .sortWithinPartitions(*order)

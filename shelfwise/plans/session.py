@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -16,16 +18,22 @@ INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 SPLIT_BYTES = "spark.sql.files.maxPartitionBytes"
 
 
-def prepare(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
-    """Apply the settings above and those for the input size.
+@contextmanager
+def prepared(spark: SparkSession, input_bytes: int = 0) -> Iterator[SparkSession]:
+    """Run actions under the settings above and those for the input size; the session's own come back afterwards.
 
-    What the application was submitted with stays as it is.
+    What the application was submitted with stays as it is. ``input_bytes`` is the size of the files a report reads.
     """
     submitted = spark.sparkContext.getConf()
-    for key, value in {**ADAPTIVE_SETTINGS, **sizing(spark, input_bytes)}.items():
-        if submitted.get(key) is None:
-            spark.conf.set(key, value)
-    return spark
+    wanted = {**ADAPTIVE_SETTINGS, **sizing(spark, input_bytes)}
+    before = {key: spark.conf.get(key, None) for key in wanted if submitted.get(key) is None}
+    try:
+        for key in before:
+            spark.conf.set(key, wanted[key])
+        yield spark
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def sizing(spark: SparkSession, input_bytes: int, per_partition: int = 256 * MB, most: int = 65536) -> dict[str, str]:
@@ -54,7 +62,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for ``checkpoint()``: what the cluster names in ``spark.checkpoint.dir``.
 
-    Executors must all see it, so only local mode may fall back to a temporary folder.
+    Executors must all see it, so only local mode may fall back to a temporary folder. Spark removes the files of
+    DataFrames that are no longer used if the application starts with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints=true``.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()

@@ -50,7 +50,7 @@ def no_broadcast(conf):
     conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4KB")
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_hot_keys_match_sql(spark, hot, no_broadcast, name):
     folder, con = hot
     got = sorted(str(tuple(row)) for row in driver.queries()[name](spark, folder).collect())

@@ -18,6 +18,7 @@ TABLES = {"orders": "sales", "products": "products", "customers": "customers", "
 # Those that start from the driver's tables or compare a stored column with what the twin's view derives.
 NOT_ON_MODEL = {
     "time_dims", "line_measures", "inventory_snapshot", "marketing_efficiency", "roas_identity_check", "preview",
+    "referential_check", "margin_identity_check",
 }
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 
@@ -94,6 +95,9 @@ def world(request, spark):
     source = spec.loader.get_source("shelfwise.plans.oracle").replace("NEEDS = {", "VIEWS = {v: f'SELECT * FROM model_{v}' for v in VIEWS}\nNEEDS = {")
     exec(compile(source, "twin", "exec"), twin.__dict__)
     model = types.SimpleNamespace(spark=spark, **frames)
+    model.lines = model.placed = model.costed = model.orders_of_every_status = frames["orders"]
+    model.orders_of = lambda *years: frames["orders"]
+    model.marketing_spend_of = lambda *years: frames["marketing_spend"]
     model.tables = lambda: registry.loader.Tables(**frames)
     return model, con, twin.ORACLE_SQL
 
