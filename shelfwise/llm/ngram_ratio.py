@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.common import reliable
+
 #: White space: what separates words.
 BLANK = r"[\x20\x09-\x0D]+"
 _SYMBOLS = r"[#*$%&|<>]+"
@@ -93,21 +95,22 @@ def bucket_weights(
     docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality",
     n_buckets: int = 1 << 16, most_trusted: int = 20_000, smoothing: float = 1.0,
 ) -> DataFrame:
-    """(bucket, weight): the log-likelihood ratio of target and corpus for each bucket that occurs.
+    """(bucket, weight): the log-likelihood ratio of target and corpus for each bucket that occurs; 0 without a target.
 
     The corpus counts cover every n-gram of every document; the target's are those of ``trusted_ids``. Counts are
-    summed per task before the shuffle: never more than ``n_buckets`` rows from a task.
+    summed per task before the shuffle: never more than ``n_buckets`` rows from a task. They are counted once, when
+    this is called, and written to the checkpoint folder.
     """
     trusted = F.broadcast(trusted_ids(labels, doc_id, label, most_trusted).withColumn("trusted", F.lit(1)))
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text_")).join(trusted, "id", "left")
     rows = with_hashes(rows, "text_", "words", "pairs")
     grams = rows.select(F.explode(_buckets("words", "pairs", n_buckets)).alias("bucket"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
-    totals = counts.agg(F.sum("raw").alias("raw_all"), F.sum("target").alias("target_all"))
-    share = lambda n, all_: (F.col(n) + smoothing) / (F.col(all_) + smoothing * n_buckets)
-    # one row of two sums: a bounded side, joined by no key because it has none
-    weighted = counts.withColumn("raw_all", totals.select("raw_all").scalar()).withColumn("target_all", totals.select("target_all").scalar())
-    return weighted.select("bucket", F.log(share("target", "target_all") / share("raw", "raw_all")).alias("weight"))
+    counts = reliable(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")))
+    raw_all, target_all = counts.agg(F.sum("raw"), F.sum("target")).first()
+    if not target_all:
+        return counts.select("bucket", F.lit(0.0).alias("weight"))
+    share = lambda n, total: (F.col(n) + smoothing) / (total + smoothing * n_buckets)
+    return counts.select("bucket", F.log(share("target", target_all) / share("raw", raw_all)).alias("weight"))
 
 
 def quality_rules(
@@ -122,17 +125,13 @@ def quality_rules(
     Null and empty texts have zero counts and fail. Null doc_ids are never trusted but are judged. Repeated rows are
     judged each, and counted each in the corpus. Weights are at most ``n_buckets`` rows and are broadcast.
     """
-    has_target = not labels.filter(F.col(f"`{options.get('label', 'quality')}`") == 1).isEmpty()
     counted = text_counts(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), ["doc_id", "text"], "text")
     rows = counted.drop("text").withColumn("row", F.monotonically_increasing_id())
     counts = ["row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    if has_target:
-        weights = bucket_weights(docs, labels, text, doc_id, n_buckets=n_buckets, **options)
-        grams = rows.select(*counts, F.explode_outer(_buckets("words", "pairs", n_buckets)).alias("bucket"))
-        joined = grams.join(F.broadcast(weights), "bucket", "left")
-        # a document's n-grams are all in one task: summed there, one row of it is shuffled
-        scored = joined.groupBy(*counts).agg(F.coalesce(F.avg("weight"), F.lit(0.0)).alias("ratio"))
-    else:
-        scored = rows.select(*counts, F.lit(0.0).alias("ratio"))
+    weights = bucket_weights(docs, labels, text, doc_id, n_buckets=n_buckets, **options)
+    grams = rows.select(*counts, F.explode_outer(_buckets("words", "pairs", n_buckets)).alias("bucket"))
+    joined = grams.join(F.broadcast(weights), "bucket", "left")
+    # a document's n-grams are all in one task: summed there, one row of it is shuffled
+    scored = joined.groupBy(*counts).agg(F.coalesce(F.avg("weight"), F.lit(0.0)).alias("ratio"))
     scored = scored.withColumn("base_failed", base_failed()).drop("row")
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
