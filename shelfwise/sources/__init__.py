@@ -1,6 +1,6 @@
 """Table schemas, readers, catalog registration and mart writer."""
 
 from .loader import (  # noqa: F401
-    Tables, delivered, load_tables, preview, register, table_counts, write_mart, write_marts,
+    Tables, delivered, load_tables, preview, register, register_marts, table_counts, write_mart, write_marts,
 )
 from .schema import SCHEMAS  # noqa: F401

@@ -75,6 +75,22 @@ def register(tables: Tables | Mapping[str, DataFrame], spark: SparkSession, data
     return [prefix + name for name in frames]
 
 
+def register_marts(spark: SparkSession, path: str, database: str, names: Iterable[str] = TABLES) -> list[str]:
+    """Make the folder of ``write_marts`` known as tables of ``database``, which is created if need be.
+
+    The tables stay in the catalog for other sessions and applications that share it; dropping them leaves the files.
+    Returns their full names.
+    """
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    made = []
+    for name in names:
+        table = f"{database}.{name}"
+        df = spark.read.parquet(f"{path}/{name}.parquet")
+        spark.catalog.createTable(table, path=f"{path}/{name}.parquet", source="parquet", schema=df.schema)
+        made.append(table)
+    return made
+
+
 def delivered(orders: DataFrame, status: str = DELIVERED) -> DataFrame:
     """The shared subset of the sales reports. Lazy: each report scans only its own columns."""
     return orders.filter(F.col("order_status") == status)

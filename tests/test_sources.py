@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import subprocess
 import sys
 
@@ -12,12 +13,13 @@ from pyspark.errors import AnalysisException
 from shelfwise.operators import customers, executive, inventory, marketing, pricing, quality, sales
 from shelfwise.plans import session
 from shelfwise.plans.canonical import CanonicalModel
-from shelfwise.sources import Tables, delivered, load_tables, preview, register, table_counts, write_mart, write_marts
+from shelfwise.sources import Tables, delivered, load_tables, preview, register, register_marts, table_counts, write_mart, write_marts
 from shelfwise.sources.schema import SCHEMAS, columns_of
 
 from .conftest import TESTDATA, records
 
-CSV_DIR = os.environ.get("RETAIL_CSV_DIR")
+BESIDE = pathlib.Path(__file__).resolve().parents[2] / "reference"
+CSV_DIR = os.environ.get("RETAIL_CSV_DIR") or (str(BESIDE) if (BESIDE / "products.csv").exists() else None)
 PRODUCTS = """product_id,product_name,category,product_type,gender,mrp,cost_price,gross_margin_pct,launch_date,is_licensed,is_active,initial_stock_units,fabric,fit,hsn_code
 p1,"Mug, large",Basics,Mug,Men,100,40.0,60.0,2024-01-31,True,False,7,Clay,Round,1
 p2,Cap,Basics,Cap,Women,50,,,,False,True,,Felt,Wide,2
@@ -122,6 +124,20 @@ def test_register_and_sql(spark, make):
         spark.sql("DROP DATABASE IF EXISTS retail_test")
 
 
+def test_marts_are_tables_of_the_database(spark, make, tmp_path):
+    lines = make("orders", [{"order_id": f"o{k}", "year": 2020 + k % 3} for k in range(6)] + [{"order_status": "Cancelled", "year": 2020}])
+    write_marts(Tables(orders=lines, products=make("products", [{"product_id": "p1"}])), str(tmp_path))
+    try:
+        assert register_marts(spark, str(tmp_path), "mart_test", ["orders", "products"]) == ["mart_test.orders", "mart_test.products"]
+        other = spark.newSession()
+        assert {t.name for t in other.catalog.listTables("mart_test")} == {"orders", "products"}
+        found = other.sql("SELECT year, COUNT(*) AS n FROM mart_test.orders WHERE order_status = 'Delivered' GROUP BY year")
+        assert {r["year"]: r["n"] for r in records(found)} == {2020: 2, 2021: 2, 2022: 2}
+        assert other.table("mart_test.orders").filter("year = 2021").count() == 2
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS mart_test CASCADE")
+
+
 def test_counts_subset_preview(make):
     lines = make("orders", [{"order_id": o, "order_status": s} for o, s in (("b", "Delivered"), ("a", "Returned"), ("c", None))])
     assert records(table_counts(Tables(orders=lines, customers=make("customers", [])))) == [
@@ -154,7 +170,7 @@ def test_no_local_checkpoint_folder_on_a_cluster():
         session.ensure_checkpoint_dir(Session())
 
 
-needs_csv = pytest.mark.skipif(not CSV_DIR, reason="RETAIL_CSV_DIR is not set")
+needs_csv = pytest.mark.skipif(not CSV_DIR, reason="no folder with the CSV files: set RETAIL_CSV_DIR")
 
 
 @needs_csv
