@@ -10,7 +10,7 @@ their bytes. All texts of a slice move on side by side, as numpy arrays.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,33 +21,36 @@ from pyspark.sql import types as T
 from shelfwise.llm.common import add_columns, binary, reliable, unused
 from shelfwise.llm.words import ALPHANUMERIC, Words, join_hashes, read_words
 
-#: Bytes of benchmark text whose patterns are broadcast at once; a larger benchmark is searched in several passes.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text that are broadcast at once (some 30 MB as patterns); a larger benchmark is searched in several passes.
+BLOCK_BYTES = 4 << 20
 _LANE = 256
 
 
-@dataclass
 class PatternSet:
-    """Patterns of one length, with their shift table and suffix buckets."""
-
-    length: int
-    texts: list[bytes] = field(default_factory=list)
-    items: list[set[str]] = field(default_factory=list)
-    hashes: list[np.ndarray] = field(default_factory=list)
-
-    def compile(self) -> PatternSet:
-        m, self.block = self.length, min(2, self.length)
-        self.words = np.array(self.hashes).reshape(-1, m)
-        blocks = join_hashes(self.words[:, :-1], self.words[:, 1:]) if self.block == 2 else self.words
-        self.mask = np.uint64((1 << max(12, (8 * blocks.size).bit_length())) - 1)
-        self.shift = np.full(int(self.mask) + 1, m - self.block + 1, np.int64)
-        for j in range(blocks.shape[1]):
-            np.minimum.at(self.shift, (blocks[:, j] & self.mask).astype(np.int64), blocks.shape[1] - 1 - j)
-        order = np.argsort(blocks[:, -1], kind="stable")
-        self.bucket = order
-        self.suffixes, self.bucket_first = np.unique(blocks[order, -1], return_index=True)
-        self.bucket_stop = np.append(self.bucket_first[1:], len(order))
-        return self
+    """Patterns of one length: places in the words of the items, with a shift table and suffix buckets."""
+
+    def __init__(self, source: Words, length: int, first: np.ndarray, items: list[tuple[int, int]], names: list[str]):
+        """Pattern p is ``length`` words of ``source`` from ``first[p]``; ``items`` are (pattern, number of a name)."""
+        self.source, self.length, self.first, self.names = source, length, first, names
+        items = np.array(sorted(items)).reshape(-1, 2)
+        self.item, self.item_first = items[:, 1], np.searchsorted(items[:, 0], np.arange(len(first) + 1))
+        self.block = min(2, length)
+        places = length - self.block + 1
+        blocks = [self._block(first + j + self.block - 1, source.hash) for j in range(places)]
+        self.mask = np.uint64((1 << max(12, (4 * len(first) * places).bit_length())) - 1)
+        self.shift = np.full(int(self.mask) + 1, places, np.uint8 if places < 256 else np.int64)
+        for j, block in enumerate(blocks):
+            np.minimum.at(self.shift, (block & self.mask).astype(np.int64), places - 1 - j)
+        self.bucket = np.argsort(blocks[-1], kind="stable")
+        self.suffixes, self.bucket_first = np.unique(blocks[-1][self.bucket], return_index=True)
+        self.bucket_stop = np.append(self.bucket_first[1:], len(first))
+
+    def _block(self, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The hash of the block that ends at a word."""
+        return join_hashes(hashes[at - 1], hashes[at]) if self.block == 2 else hashes[at]
+
+    def items_of(self, pattern: int) -> list[str]:
+        return [self.names[i] for i in self.item[self.item_first[pattern] : self.item_first[pattern + 1]].tolist()]
 
     def occurrences(self, words: Words) -> Iterator[tuple[int, int]]:
         """(first word, pattern) of each occurrence within a text."""
@@ -59,8 +62,8 @@ class PatternSet:
         stop = np.minimum(at + _LANE, np.repeat(ends[1], lanes))
         found = []
         while len(at):
-            key = join_hashes(h[at - 1], h[at]) if self.block == 2 else h[at]
-            shift = self.shift[(key & self.mask).astype(np.int64)]
+            key = self._block(at, h)
+            shift = self.shift[(key & self.mask).astype(np.int64)].astype(np.int64)
             zero = shift == 0
             if zero.any():
                 found.append((at[zero], key[zero]))
@@ -78,33 +81,32 @@ class PatternSet:
         inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         pattern = self.bucket[np.repeat(self.bucket_first[row], many) + inside]
         for j in range(m):
-            same = h[first + j] == self.words[pattern, j]
+            same = h[first + j] == self.source.hash[self.first[pattern] + j]
             first, pattern = first[same], pattern[same]
         for s, p in zip(first.tolist(), pattern.tolist()):
-            if words.phrase(s, s + m) == self.texts[p]:
+            if words.phrase(s, s + m) == self.source.phrase(self.first[p], self.first[p] + m):
                 yield s, p
 
 
 def compile_patterns(items: list[tuple[str, str | None]], window: int) -> list[PatternSet]:
     """The patterns of (id, text) items, one set for each length that occurs; equal windows are one pattern."""
     words = read_words(binary(pa.array([t for _, t in items], pa.string())), ALPHANUMERIC, lower=True)
-    sets: dict[int, PatternSet] = {}
-    known: dict[bytes, int] = {}
-    for i, (name, _) in enumerate(items):
+    known: dict[int, dict[bytes, int]] = {}
+    places: dict[int, list[int]] = {}
+    pairs: dict[int, set[tuple[int, int]]] = {}
+    for i in range(len(items)):
         first, stop = int(words.first[i]), int(words.first[i + 1])
         length = min(window, stop - first)
         if not length:
             continue
-        group = sets.setdefault(length, PatternSet(length))
         for s in range(first, stop - length + 1):
-            text = words.phrase(s, s + length)
-            if text not in known:
-                known[text] = len(group.texts)
-                group.texts.append(text)
-                group.items.append(set())
-                group.hashes.append(words.hash[s : s + length])
-            group.items[known[text]].add(name)
-    return [g.compile() for g in sets.values()]
+            pattern = known.setdefault(length, {}).setdefault(words.phrase(s, s + length), len(known[length]))
+            own = places.setdefault(length, [])
+            if pattern == len(own):
+                own.append(s)
+            pairs.setdefault(length, set()).add((pattern, i))
+    names = [name for name, _ in items]
+    return [PatternSet(words, length, np.array(own), list(pairs[length]), names) for length, own in places.items()]
 
 
 def search(texts: pa.Array, patterns: list[PatternSet]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]:
@@ -118,7 +120,7 @@ def search(texts: pa.Array, patterns: list[PatternSet]) -> tuple[np.ndarray, lis
         for first, p in group.occurrences(words):
             change[first] += 1
             change[first + group.length] -= 1
-            items[int(np.searchsorted(words.first, first, side="right")) - 1] |= group.items[p]
+            items[int(np.searchsorted(words.first, first, side="right")) - 1].update(group.items_of(p))
     covered = np.cumsum(change) > 0
     for i in (i for i in range(n) if items[i]):
         hit = np.concatenate([[False], covered[words.first[i] : words.first[i + 1]], [False]])
@@ -139,9 +141,10 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) ->
         yield block
 
 
-def _merged(a: list, b: list) -> list:
+def _merged(runs: list) -> list:
+    """Runs as few as possible that cover the same words."""
     out: list[list[int]] = []
-    for first, stop in sorted([tuple(x) for x in a] + [tuple(x) for x in b]):
+    for first, stop in sorted(tuple(x) for x in runs):
         if out and first <= out[-1][1]:
             out[-1][1] = max(out[-1][1], stop)
         else:
@@ -167,7 +170,8 @@ def find_benchmark_passages(
     Null or empty texts have no words and no hits; items without words match nothing; a null item id counts as
     the id "null"; repeated items are one item, repeated documents stay separate rows; an empty benchmark hits
     nothing. Patterns of at most ``block_bytes`` of benchmark text are broadcast at once. A larger benchmark is
-    searched block by block against all rows, with a checkpoint between, and the runs and items are merged.
+    searched block by block against all rows; what each pass finds, by the hash of the text, is written to the
+    checkpoint folder, merged, and joined back to the rows.
     """
     kept = docs.select(*(F.col(f"`{c}`") for c in keep))
     names = {role: unused(kept, role) for role in ("n_words", "runs", "items")}
@@ -193,19 +197,33 @@ def find_benchmark_passages(
     if following is None:
         return add_columns(docs, text, keep, fields, finder(block)), names
 
-    # a benchmark beyond one broadcast: the texts go along until the last block, and what was found is merged
-    own = unused(kept, "text_to_search")
-    rest = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(own))
-    found = add_columns(rest, own, [*keep, own], fields, finder(block))
-    while following is not None:
-        found = reliable(found)
-        made = [T.StructField(unused(found, f"next_{r}"), k) for r, k in zip(names, kinds)]
-        found = add_columns(found, own, found.columns, made, finder(following))
-        merge = F.udf(lambda a, b: _merged(a, b), T.ArrayType(run))
-        found = found.withColumn(names["runs"], merge(names["runs"], made[1].name))
-        found = found.withColumn(names["items"], F.array_sort(F.array_union(names["items"], made[2].name))).drop(*(m.name for m in made))
-        following = next(blocks, None)
-    return found.drop(own), names
+    # beyond one broadcast: a pass per block over all texts, of which only those with a hit are kept
+    blocks = chain([block, following], blocks)
+    source = docs.select(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256).alias("content"), F.col(f"`{text}`").alias("text"))
+    hits = None
+    for block in blocks:
+        part = add_columns(source, "text", ["content"], [T.StructField(r, k) for r, k in zip(names, kinds)], finder(block))
+        part = reliable(part.filter(F.size("items") > 0).dropDuplicates(["content"]))
+        hits = part if hits is None else hits.union(part)
+    merge = F.udf(_merged, T.ArrayType(run))
+    hits = hits.groupBy("content").agg(
+        merge(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
+    own = unused(kept, "content")
+    content = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256).alias(own)
+    counted = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(f"{own}_text"), content)
+    counted = add_columns(counted, f"{own}_text", [*keep, own], [fields[0]], lambda texts: [pa.array(count_words(texts), pa.int64())])
+    found = counted.join(reliable(hits).withColumnsRenamed({"content": own, "runs": f"{own}_runs", "items": f"{own}_items"}), own, "left")
+    empty = lambda kind: F.lit([]).cast(kind)
+    return found.select(
+        *(F.col(f"`{c}`") for c in keep), names["n_words"],
+        F.coalesce(f"{own}_runs", empty(T.ArrayType(run))).alias(names["runs"]),
+        F.coalesce(f"{own}_items", empty(T.ArrayType(T.StringType()))).alias(names["items"]),
+    ), names
+
+
+def count_words(texts: pa.Array) -> np.ndarray:
+    return read_words(texts, ALPHANUMERIC, lower=True).counts()
 
 
 def hit_words(runs: Column | str) -> Column:
