@@ -123,15 +123,20 @@ def quality_rules(
     Without labels the target is flat and says nothing: the ratio is 0 and the base rules decide.
 
     Null and empty texts have zero counts and fail. Null doc_ids are never trusted but are judged. Repeated rows are
-    judged each, and counted each in the corpus. Weights are at most ``n_buckets`` rows and are broadcast.
+    judged each, and counted each in the corpus. The weights are ``n_buckets`` numbers and go to every task.
     """
-    counted = text_counts(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), ["doc_id", "text"], "text")
-    rows = counted.drop("text").withColumn("row", F.monotonically_increasing_id())
-    counts = ["row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    counted = text_counts(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), ["doc_id"], "text")
     weights = bucket_weights(docs, labels, text, doc_id, n_buckets=n_buckets, **options)
-    grams = rows.select(*counts, F.explode_outer(_buckets("words", "pairs", n_buckets)).alias("bucket"))
-    joined = grams.join(F.broadcast(weights), "bucket", "left")
-    # a document's n-grams are all in one task: summed there, one row of it is shuffled
-    scored = joined.groupBy(*counts).agg(F.coalesce(F.avg("weight"), F.lit(0.0)).alias("ratio"))
-    scored = scored.withColumn("base_failed", base_failed()).drop("row")
+    # all buckets in order as one array, a scalar of the plan: no document is exploded or joined
+    every = docs.sparkSession.range(n_buckets).join(weights, F.col("id") == F.col("bucket"), "left")
+    by_bucket = F.sort_array(F.collect_list(F.struct("id", F.coalesce("weight", F.lit(0.0)).alias("weight"))))
+    table = every.agg(F.transform(by_bucket, lambda x: x["weight"]).alias("weights"))
+    rows = counted.select(*counts, _buckets("words", "pairs", n_buckets).alias("grams"))
+    total = F.aggregate("grams", F.lit(0.0), lambda a, bucket: a + F.get(F.col("weights"), bucket))
+    # each column is used once here, so that the optimizer puts the scalar into the sum
+    summed = rows.withColumn("weights", table.scalar()).select(*counts, total.alias("total"))
+    n_grams = F.col("n_words") + F.greatest(F.col("n_words") - 1, F.lit(0))
+    scored = summed.select(*counts, F.when(n_grams > 0, F.col("total") / n_grams).otherwise(F.lit(0.0)).alias("ratio"))
+    scored = scored.withColumn("base_failed", base_failed())
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))

@@ -177,6 +177,13 @@ def test_quality_rules_equal_brute_force(spark, docs_of, labels_of, small, small
         assert (*r[1:6], r["base_failed"], r["ratio"], r["kept"]) in expected[r["doc_id"]]
 
 
+def test_weights_are_no_column_of_any_row(spark, small):
+    """The table of weights stays a scalar inside the sum: as a column it would be copied for every document."""
+    judged = queries.op3_ngram_ratio(spark, small)
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS weights#" not in plan.split("collect_list")[0] and "scalar-subquery" in plan
+
+
 def test_quality_rules_without_labels(docs_of, labels_of):
     judged = ngram_ratio.quality_rules(docs_of(ODD), labels_of([])).collect()
     assert {r["ratio"] for r in judged} == {0.0} and all(r["kept"] != r["base_failed"] for r in judged) and len(judged) == len(ODD)
