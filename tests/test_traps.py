@@ -197,11 +197,11 @@ def test_executive_year_without_marketing_and_tied_category(make):
     assert (row["units_sold"], row["return_rate_pct"], row["aov_inr"]) == (4, 25.0, 100.0)
 
 
-def test_executive_ignores_null_ids(make):
+def test_executive_ignores_null_ids_but_not_a_missing_category(make):
     lines = make("orders", [{"order_id": None, "customer_id": None, "category": None}, {"category": "A", "revenue_inr": 1.0}])
     row, = records(executive.executive_kpi(lines, make("marketing_spend", [{"year": 2024, "spend_inr_lakhs": 0.0}])))
     assert (row["total_orders"], row["unique_buyers"], row["units_sold"]) == (1, 1, 2)
-    assert row["top_category_by_rev"] == "A" and row["blended_roas"] is None
+    assert row["top_category_by_rev"] is None and row["blended_roas"] is None
 
 
 def test_kpi_growth_uses_the_calendar_year_before(make):
