@@ -267,7 +267,7 @@ def test_overstock_limits_are_strict(make):
 def test_channel_mix_counts_unlisted_channels_in_the_total(make):
     lines = make("orders", [{"channel": c, "revenue_inr": v} for c, v in (("Web", 3e5), ("Shop", 1e5))])
     row, = records(sales.channel_mix_pivot(lines, ["Web", "App"]))
-    assert row == {"year": 2024, "Web": 3.0, "App": 0.0, "Web_share_pct": 75.0, "App_share_pct": 0.0}
+    assert row == {"year": 2024, "Web": 3.0, "App": 0.0, "Other": 1.0, "Web_share_pct": 75.0, "App_share_pct": 0.0, "Other_share_pct": 25.0}
 
 
 def test_marketing_tiers(make):
