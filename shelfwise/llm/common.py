@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python step handles at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,7 +54,8 @@ def binary(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
     """Texts as UTF-8 bytes with 64-bit offsets; null becomes the empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    return pc.fill_null(texts.cast(pa.large_binary()), b"")
+    texts = texts.cast(pa.large_binary())
+    return pc.fill_null(texts, b"") if texts.null_count else texts
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,14 +86,17 @@ def add_columns(
     A row stays a row: no shuffle, and no more than a slice of texts in a Python worker's structures.
     """
     keep = list(keep)
-    kept = docs.select(*(F.col(f"`{c}`") for c in keep))
-    own = unused(kept, "text_to_read")
-    frame = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias(own))
+    frame = kept = docs.select(*(F.col(f"`{c}`") for c in keep))
+    if text in keep and kept.schema[text].dataType == T.StringType():
+        place = keep.index(text)  # it goes to Python once
+    else:
+        place, own = len(keep), unused(kept, "text_to_read")
+        frame = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias(own))
     names = [f.name for f in fields]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = binary(batch.column(len(keep)))
+            texts = binary(batch.column(place))
             for first, stop in slices(texts):
                 made = make(texts.slice(first, stop - first))
                 yield pa.RecordBatch.from_arrays(

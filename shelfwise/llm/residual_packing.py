@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,7 @@ class Tokenizer:
     """
 
     def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer as Library
-
-        self.library, self.fast = Library.from_file(path), None
+        self.path, self.fast = path, None
         if ranks_path:
             import base64
 
@@ -47,6 +46,13 @@ class Tokenizer:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def library(self):
+        """Loaded when the first text needs it."""
+        from tokenizers import Tokenizer as Library
+
+        return Library.from_file(self.path)
+
     def encode(self, text: str) -> list[int]:
         if self.fast and "<|" not in text and _COMMON.fullmatch(text) and len(max(text.split(" "), key=len)) < _LONG_RUN:
             return self.fast.encode_ordinary(text)
