@@ -205,7 +205,7 @@ def find_benchmark_passages(
         part = add_columns(source, "text", ["content"], [T.StructField(r, k) for r, k in zip(names, kinds)], finder(block))
         part = reliable(part.filter(F.size("items") > 0).dropDuplicates(["content"]))
         hits = part if hits is None else hits.union(part)
-    merge = F.udf(_merged, T.ArrayType(run))
+    merge = F.udf(lambda runs: _merged(runs), T.ArrayType(run))
     hits = hits.groupBy("content").agg(
         merge(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )

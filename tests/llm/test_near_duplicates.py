@@ -140,6 +140,20 @@ def test_compact_windows_equal_brute_force(least):
         assert list(zip(*(x.tolist() for x in got[1:]))) == windows_by_hand(shingles, 2, least)
 
 
+def test_windows_that_overlap_with_enough_functions():
+    draw = random.Random(8)
+    for _ in range(30):
+        windows = []
+        for _ in range(draw.randint(1, 25)):
+            left = draw.randrange(150)
+            right = left + draw.randrange(9, 60)
+            windows.append((draw.randrange(4), left, draw.randint(left, right), right))
+        f, left, c, right = (np.array(x) for x in zip(*windows))
+        got = compact_windows.met_enough(compact_windows._pack(f, left, c, right), 10, 2)
+        over = lambda x, y: min(x[3], y[3]) - max(x[1], y[1]) + 1 >= 10
+        assert got.tolist() == [len({y[0] for y in windows if over(x, y)}) >= 2 for x in windows]
+
+
 def test_every_passage_lies_in_one_window():
     shingles = np.array([random.Random(1).getrandbits(60) for _ in range(40)], np.uint64)
     windows = list(zip(*(x.tolist() for x in compact_windows.compact_windows(shingles, 0, 7)[1:])))
@@ -179,6 +193,15 @@ def test_repeated_passages(spark, docs_of):
     assert by[10][0]["partner_id"] == 13 and (by[10][0]["start"], by[10][0]["stop"]) == (0, 20_000)
 
 
+def test_a_common_line_does_not_hide_a_passage_around_it(docs_of):
+    line, rows = prose(999, 12), []
+    for i in range(300):
+        middle = prose(1000 + i // 2, 45) if i < 20 else prose(1000 + i, 45)  # pairs share the line and 45 words
+        rows.append((i, f"{prose(2000 + i, 40)} {line} {middle} {prose(3000 + i, 40)}"))
+    got = compact_windows.repeated_passages(docs_of(rows)).collect()
+    assert {r["doc_id"]: r["partner_id"] for r in got} == {i: i ^ 1 for i in range(20)}
+
+
 def test_passages_on_the_test_table(spark, small, small_docs):
     """Every exact run of 50 words that two documents share is found; every reported similarity holds."""
     got = queries.op8_compact_windows(spark, small).collect()
