@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -12,6 +15,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as driver
 import corpus_pipeline
 from shelfwise.llm import pairwise_quality
+from shelfwise.plans.registry import QUERIES as RETAIL
 
 from .conftest import ODD, prose, same_rows
 from .test_near_duplicates import groups_by_hand, variants
@@ -49,6 +53,23 @@ def test_stages_are_as_ordered():
     assert "pipeline" in driver.queries() and ("pipeline" in driver.oracle_sql()) == (corpus_pipeline.ORACLE_SQL is not None)
 
 
+def entry_queries(blocked):
+    """What the driver's module offers in a fresh interpreter where a module is missing."""
+    code = f"import sys; sys.modules[{blocked!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = pathlib.Path(driver.__file__).parent
+    return subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+
+
+@pytest.mark.parametrize("blocked", ["corpus_pipeline", "shelfwise.llm"])
+def test_entry_without_the_subpackage(blocked):
+    assert entry_queries(blocked).stdout.split() == [str(len(RETAIL))] * 2
+
+
+def test_entry_does_not_hide_other_missing_modules():
+    found = entry_queries("xxhash")
+    assert found.returncode != 0 and "xxhash" in found.stderr
+
+
 def pairs(df):
     return [(r["doc_id"], r["text"]) for r in df.collect()]
 
