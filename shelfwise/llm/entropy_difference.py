@@ -3,7 +3,8 @@
 Two bigram models, of a trusted target and of the whole corpus as background, share one vocabulary: words are
 hashed to 2^18 ids and pairs of neighbours to 2^20. They are matched: the same order, smoothing and vocabulary, and
 the background's counts scaled to the target's mass. A document's score is its loss per word under the target's
-model less that under the background's: the lower, the more it is like the target.
+model less that under the background's: the lower, the more it is like the target. What the document itself has
+added to a model's counts is taken out before it is scored, else a model would know what it has seen.
 """
 
 from __future__ import annotations
@@ -15,9 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from shelfwise.llm.common import add_columns, binary, slices
+from shelfwise.llm.common import binary, slices
 from shelfwise.llm.words import NOT_BLANK, Words, join_hashes, read_words
 
 
@@ -44,21 +44,34 @@ class Vocabulary:
 
 @dataclass
 class BigramModel:
-    """Counts, smoothed: pairs by a Dirichlet prior on the word's probability, words by adding one."""
+    """Counts, smoothed: pairs by a Dirichlet prior on the word's probability, words by adding one.
+
+    ``scale`` is what a word of the corpus adds to the counts.
+    """
 
     words: np.ndarray
     histories: np.ndarray
     pairs: np.ndarray
     prior: float
+    scale: float = 1.0
 
     def __post_init__(self):
-        self.word_share = ((self.words + 1) / (self.words.sum() + len(self.words))).astype(np.float32)
-        self.histories, self.pairs = self.histories.astype(np.float32), self.pairs.astype(np.float32)
-        del self.words
+        self.total = float(self.words.sum())
+        self.words, self.histories, self.pairs = (x.astype(np.float32) for x in (self.words, self.histories, self.pairs))
+
+    def losses(self, ids: tuple[np.ndarray, ...], own: tuple[np.ndarray, ...], length: np.ndarray) -> np.ndarray:
+        """Nats of each word given the one before, without ``own`` counts of its text and its ``length`` in words."""
+        word, before, pair = (
+            np.maximum(counts[i] - self.scale * n, 0.0) for counts, i, n in zip((self.words, self.histories, self.pairs), ids, own)
+        )
+        share = (word + 1) / (np.maximum(self.total - self.scale * length, 0.0) + len(self.words))
+        return -np.log((pair + self.prior * share) / (before + self.prior))
+
 
-    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Nats of each word given the one before."""
-        return -np.log((self.pairs[pair] + self.prior * self.word_share[word]) / (self.histories[before] + self.prior)).astype(np.float64)
+def own_counts(whose: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each place, how often its id occurs in its text."""
+    _, group, counts = np.unique(whose * (int(ids.max(initial=0)) + 1) + ids, return_inverse=True, return_counts=True)
+    return counts[group]
 
 
 def _count(vocabulary: Vocabulary):
@@ -82,56 +95,69 @@ def _count(vocabulary: Vocabulary):
     return step
 
 
+def _with_trust(docs: DataFrame, trusted: DataFrame, text: str, doc_id: str) -> DataFrame:
+    ids = F.broadcast(trusted.select("id", F.lit(True).alias("trusted")))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(ids, "id", "left")
+    return rows.select("id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+
+
 def train(
-    docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality",
-    vocabulary: Vocabulary | None = None, most_trusted: int = 20_000, prior: float = 2.0,
-) -> tuple[BigramModel, BigramModel]:
+    docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: Vocabulary | None = None, prior: float = 2.0
+) -> tuple[BigramModel, BigramModel]:
     """(target model, background model).
 
-    The background counts every word and pair of every document; the target those labelled 1 and never 0, at most
-    ``most_trusted`` of them, first by a hash of their id. Each task sends what it has counted, so what is gathered
-    grows with the corpus; the summed tables are bounded by the vocabulary, and only they come to the driver.
+    The background counts every word and pair of every document; the target those of the documents whose ``id`` is in
+    ``trusted``, a table of bounded size. Each task sends what it has counted, so what is gathered grows with the
+    corpus; the summed tables are bounded by the vocabulary, and only they come to the driver.
     """
     vocabulary = vocabulary or Vocabulary()
-    good = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").alias("label")).dropna()
-    good = good.groupBy("id").agg(F.min("label").alias("label")).filter("label = 1").select("id")
-    good = F.broadcast(good.orderBy(F.xxhash64("id"), "id").limit(most_trusted).withColumn("trusted", F.lit(True)))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(good, "id", "left")
-    rows = rows.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    counted = rows.mapInArrow(_count(vocabulary), "id long, raw long, target long")
+    rows = _with_trust(docs, trusted, text, doc_id)
+    counted = rows.select("text", "trusted").mapInArrow(_count(vocabulary), "id long, raw long, target long")
     table = counted.groupBy("id").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     edges = np.cumsum([0, *vocabulary.sizes])
     raw, target = np.zeros(edges[-1]), np.zeros(edges[-1])
     ids = np.asarray(table["id"]).astype(np.int64)
     raw[ids], target[ids] = np.asarray(table["raw"]), np.asarray(table["target"])
-    mass = max(1.0, raw[: edges[1]].sum())
-    raw *= target[: edges[1]].sum() / mass
+    scale = float(target[: edges[1]].sum() / max(1.0, raw[: edges[1]].sum()))
     cut = lambda a: [a[i:j].copy() for i, j in zip(edges, edges[1:])]
-    return BigramModel(*cut(target), prior), BigramModel(*cut(raw), prior)
+    return BigramModel(*cut(target), prior), BigramModel(*cut(raw * scale), prior, scale)
+
+
+def _score(models, vocabulary: Vocabulary):
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, trusted = binary(batch.column(1)), np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
+            for first, stop in slices(texts):
+                words = read_words(texts.slice(first, stop - first), NOT_BLANK, lower=True)
+                ids, n, whose = vocabulary.ids(words), words.counts(), words.text_of()
+                own, length = tuple(own_counts(whose, i) for i in ids), n[whose]
+                seen = trusted[first:stop][whose]
+                means = []
+                for model, part in zip(models.value, (seen, np.ones(len(whose), bool))):
+                    losses = model.losses(ids, tuple(np.where(part, o, 0) for o in own), np.where(part, length, 0))
+                    total = np.concatenate([[0.0], np.cumsum(losses, dtype=np.float64)])
+                    means.append((total[words.first[1:]] - total[words.first[:-1]]) / np.maximum(n, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, stop - first), pa.array(n, pa.int64()), *map(pa.array, (*means, means[0] - means[1]))],
+                    names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
+                )
+
+    return step
 
 
 def score(
-    docs: DataFrame, target: BigramModel, background: BigramModel, text: str = "text", doc_id: str = "doc_id", vocabulary: Vocabulary | None = None
-) -> DataFrame:
+    docs: DataFrame, trusted: DataFrame, target: BigramModel, background: BigramModel, text: str = "text", doc_id: str = "doc_id",
+    vocabulary: Vocabulary | None = None,
+) -> DataFrame:
     """One row per document: doc_id, n_tokens, target_loss, background_loss (nats a word), score (their difference).
 
-    Words are runs without white space, A-Z lower-cased. A text without words, null included, has losses and score 0.
-    Without any trusted document both models are flat and all scores 0. Null ids and repeated rows are scored like any.
-    The models are two tables of bounded size and are broadcast.
+    ``docs`` are those the background was trained on, and ``trusted`` the ids of those the target was: each document is
+    scored as if it had not been there. Words are runs without white space, A-Z lower-cased. A text without words, null
+    included, has losses and score 0. Without any trusted document both models are flat and all scores 0. Null ids and
+    repeated rows are scored like any. The models are two tables of bounded size and are broadcast.
     """
     vocabulary = vocabulary or Vocabulary()
     models = docs.sparkSession.sparkContext.broadcast((target, background))
-
-    def make(texts: pa.Array) -> list[pa.Array]:
-        words = read_words(texts, NOT_BLANK, lower=True)
-        ids, n = vocabulary.ids(words), words.counts()
-        means = []
-        for model in models.value:
-            total = np.concatenate([[0.0], np.cumsum(model.losses(*ids))])
-            means.append((total[words.first[1:]] - total[words.first[:-1]]) / np.maximum(n, 1))
-        return [pa.array(n, pa.int64()), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])]
-
-    fields = [T.StructField("n_tokens", T.LongType())]
-    fields += [T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score")]
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return add_columns(rows, "text", ["doc_id"], fields, make)
+    rows = _with_trust(docs, trusted, text, doc_id)
+    kind = dict(rows.dtypes)["id"]
+    return rows.mapInArrow(_score(models, vocabulary), f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
