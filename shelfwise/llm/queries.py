@@ -113,27 +113,83 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
-def _secret_sql() -> str:
-    """Gaps and matches by position, summed up; the rules as RE2 writes them."""
-    base = [r.kind for r in secret_ledger.BASE_RULES]
+def _spans_sql(source: str, key: str, text: str, rules: list[tuple[str, str, str]]) -> str:
+    """Spans of (kind, RE2 pattern, condition on match): gaps and matches by position, summed up."""
     parts = []
-    for rank, rule in enumerate(secret_ledger.RULES):
-        pattern = rule.pattern.replace("}+", "}").replace("'", "''")
-        length = f"length(regexp_extract(match, '{pattern}', 2)) >= 6" if rule.kind == "assign" else "true"
+    for rank, (kind, pattern, holds) in enumerate(rules):
+        quoted = pattern.replace("'", "''")
         parts.append(
-            f"SELECT row, kind, rank, stop - length(match) AS start, stop FROM (SELECT *, SUM(length(gap) + length(match)) OVER "
-            f"(PARTITION BY row ORDER BY nth) AS stop FROM (SELECT row, '{rule.kind}' AS kind, {rank} AS rank, unnest(m) AS match, "
-            f"unnest(gaps[1:len(m)]) AS gap, generate_subscripts(m, 1) AS nth FROM (SELECT row, regexp_extract_all(text, '{pattern}') AS m, "
-            f"string_split_regex(text, '{pattern}') AS gaps FROM docs))) WHERE {length}"
+            f"SELECT {key}, '{kind}' AS kind, {rank} AS rank, stop - length(match) AS start, stop, match FROM (SELECT *, "
+            f"SUM(length(gap) + length(match)) OVER (PARTITION BY {key} ORDER BY nth) AS stop FROM (SELECT {key}, unnest(m) AS match, "
+            f"unnest(gaps[1:len(m)]) AS gap, generate_subscripts(m, 1) AS nth FROM (SELECT {key}, regexp_extract_all({text}, '{quoted}') AS m, "
+            f"string_split_regex({text}, '{quoted}') AS gaps FROM {source}))) WHERE {holds}"
         )
-    span = "kind || ':' || start || ':' || stop"
+    return " UNION ALL ".join(parts)
+
+
+_SPAN = "kind || ':' || start || ':' || stop"
+
+
+def _report_sql(key: str, base: list[str], frame: str) -> str:
+    """Counts of the base kinds, digest of their spans, and all spans, per document."""
     kinds = ", ".join(f"'{k}'" for k in base)
     counts = ", ".join(f"COUNT(*) FILTER (kind = '{k}') AS n_{k}" for k in base)
+    return f"""SELECT doc_id, {counts}, sha256(COALESCE(STRING_AGG({_SPAN}, ',' ORDER BY start, rank) FILTER (kind IN ({kinds})), '')) AS base_sha256,
+  COALESCE(STRING_AGG({_SPAN}, ',' ORDER BY start, rank), '') AS spans
+FROM {frame} GROUP BY {key}, doc_id"""
+
+
+def _secret_sql() -> str:
+    rules = []
+    for rule in secret_ledger.RULES:
+        pattern = rule.pattern.replace("}+", "}")
+        quoted = pattern.replace("'", "''")
+        rules.append((rule.kind, pattern, f"length(regexp_extract(match, '{quoted}', 2)) >= 6" if rule.kind == "assign" else "true"))
+    return f"""WITH docs AS (SELECT ROW_NUMBER() OVER () AS row, doc_id, COALESCE(text, '') AS text FROM documents),
+spans AS ({_spans_sql("docs", "row", "text", rules)})
+{_report_sql("row", [r.kind for r in secret_ledger.BASE_RULES], "docs LEFT JOIN spans USING (row)")}"""
+
+
+def _disclosure_sql(context: int = 80, generalise_at: str = "0.5e0", remove_at: str = "0.9e0", least_texts: int = 3) -> str:
+    """Identifiers by plain patterns; terms near them by counting over the texts and their copies."""
+    digits = "regexp_replace(match, '[^0-9]', '', 'g')"
+    figure = f"CAST({digits}[i] AS INT)"
+    luhn = (
+        f"list_sum([CASE WHEN (len({digits}) - i) % 2 = 0 THEN {figure} WHEN {figure} > 4 THEN 2 * {figure} - 9 ELSE 2 * {figure} END "
+        f"FOR i IN generate_series(1, len({digits}))])"
+    )
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+         "len([x FOR x IN string_split(match, '.') IF len(ltrim(x, '0')) > 3 OR CAST('0' || ltrim(x, '0') AS HUGEINT) > 255]) = 0"),
+        ("card", r"[0-9]([\x20-]?[0-9])+", f"CASE WHEN len({digits}) BETWEEN 12 AND 19 THEN {luhn} % 10 = 0 ELSE false END"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"len({digits}) BETWEEN 9 AND 15"),
+    ]
+    n, term = len(rules), r"\p{L}{4,}"
     return f"""WITH docs AS (SELECT ROW_NUMBER() OVER () AS row, doc_id, COALESCE(text, '') AS text FROM documents),
-spans AS ({" UNION ALL ".join(parts)})
-SELECT doc_id, {counts}, sha256(COALESCE(STRING_AGG({span}, ',' ORDER BY start, rank) FILTER (kind IN ({kinds})), '')) AS base_sha256,
-  COALESCE(STRING_AGG({span}, ',' ORDER BY start, rank), '') AS spans
-FROM docs LEFT JOIN spans USING (row) GROUP BY row, doc_id"""
+texts AS (SELECT ROW_NUMBER() OVER () AS c, text, COUNT(*) AS copies FROM docs GROUP BY text),
+base AS ({_spans_sql("texts", "c", "text", rules)}),
+named AS (SELECT base.*, kind || ':' || CASE WHEN kind = 'email' THEN lower(match) ELSE {digits} END AS entity, text, copies
+  FROM base JOIN texts USING (c)),
+sides AS (SELECT ROW_NUMBER() OVER () AS s, * FROM (
+  SELECT DISTINCT c, entity, copies, length(text) AS size, GREATEST(start - {context}, 0) AS lo,
+    substring(text, CAST(GREATEST(start - {context}, 0) + 1 AS BIGINT), CAST(LEAST(start, {context}) AS BIGINT)) AS side FROM named
+  UNION SELECT DISTINCT c, entity, copies, length(text), stop, substring(text, CAST(stop + 1 AS BIGINT), {context}) FROM named)),
+words AS ({_spans_sql("sides", "s", "side", [("term", term, "true")])}),
+terms AS (SELECT c, entity, copies, lo + start AS start, lo + stop AS stop, lower(match) AS term FROM words JOIN sides USING (s)
+  WHERE NOT (start = 0 AND lo > 0) AND NOT (stop = length(side) AND lo + length(side) < size)),
+pairs AS (SELECT entity, term, SUM(copies) AS together FROM (SELECT DISTINCT c, entity, copies, term FROM terms)
+  GROUP BY entity, term HAVING COUNT(*) >= {least_texts}),
+entities AS (SELECT entity, SUM(copies) AS with_entity FROM (SELECT DISTINCT c, entity, copies FROM named) GROUP BY entity),
+with_terms AS (SELECT term, SUM(copies) AS with_term FROM
+  (SELECT DISTINCT c, copies, lower(unnest(regexp_extract_all(text, '{term}'))) AS term FROM texts) GROUP BY term),
+shares AS (SELECT entity, term, log2(together * (SELECT COUNT(*) FROM docs) / (with_entity * with_term))
+    / NULLIF(-log2(with_entity / (SELECT COUNT(*) FROM docs)), 0) AS share
+  FROM pairs JOIN entities USING (entity) JOIN with_terms USING (term)),
+found AS (SELECT c, start, stop, MAX(share) AS share FROM terms JOIN shares USING (entity, term) WHERE share >= {generalise_at} GROUP BY c, start, stop),
+spans AS (SELECT c, kind, rank, start, stop FROM base UNION ALL
+  SELECT c, CASE WHEN share >= {remove_at} THEN 'term_removed' ELSE 'term' END, CASE WHEN share >= {remove_at} THEN {n + 1} ELSE {n} END, start, stop FROM found)
+{_report_sql("row", [k for k, _, _ in rules], "docs JOIN texts USING (text) LEFT JOIN spans USING (c)")}"""
 
 
 def _benchmark_sql() -> str:
@@ -156,4 +212,4 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
 #: What SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_secret_scan": _secret_sql(), "op9_wu_manber": _benchmark_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": _secret_sql(), "op6_disclosure": _disclosure_sql(), "op9_wu_manber": _benchmark_sql()}
