@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.domains import OVERSTOCKED
-from ..functions.numeric import case, count_where, first_largest, lakhs, pct, ratio, rnd
+from ..functions.numeric import count_where, first_largest, lakhs, pct, ratio, rnd
 from ..sources.loader import delivered
 from .sales import kpi_by_year
 
@@ -17,38 +17,43 @@ from .sales import kpi_by_year
 def executive_kpi(orders: DataFrame, marketing: DataFrame, corrected: bool = False) -> DataFrame:
     """One row per year: revenue, orders, margin, returns, buyers, marketing ROAS, best category.
 
-    The return rate counts delivered lines only. The lines are read once, under three grouping sets:
-    orders and buyers of a year are the groups of the first two, everything else folds up from the
-    categories. Marketing joins as one row per year, so no row is multiplied. ``aov_inr`` is the mean
+    The return rate counts delivered lines only. The lines are read once and counted under three facets:
+    orders and buyers of a year are the groups of the first two, whose rows carry no sums; everything else folds up
+    from the categories. Marketing joins as one row per year, so no row is multiplied. ``aov_inr`` is the mean
     line price, with ``corrected`` revenue per order. Lines without a category are a category, and the best
     one is NULL where they have the highest revenue.
     """
     facets = {"order_id": 0, "customer_id": 1, "category": 2}
+    facet = F.col("facet")
+    in_facet = {c: F.when(facet == i, F.col(c)).alias(c) for c, i in facets.items()}
+
+    def in_category_facet(value):
+        return F.when(facet == facets["category"], value)
+
     sums = {
-        "revenue": F.sum("revenue_inr"),
-        "price": F.sum("selling_price"),
-        "price_n": F.count("selling_price"),
-        "margin": F.sum("gross_margin_pct"),
-        "margin_n": F.count("gross_margin_pct"),
-        "discount": F.sum("discount_pct"),
-        "discount_n": F.count("discount_pct"),
-        "units_sold": F.sum("quantity"),
-        "returned": count_where(F.col("is_returned")),
-        "lines": F.count(F.lit(1)),
+        "revenue": F.sum(in_category_facet(F.col("revenue_inr"))),
+        "price": F.sum(in_category_facet(F.col("selling_price"))),
+        "price_n": F.count(in_category_facet(F.col("selling_price"))),
+        "margin": F.sum(in_category_facet(F.col("gross_margin_pct"))),
+        "margin_n": F.count(in_category_facet(F.col("gross_margin_pct"))),
+        "discount": F.sum(in_category_facet(F.col("discount_pct"))),
+        "discount_n": F.count(in_category_facet(F.col("discount_pct"))),
+        "units_sold": F.sum(in_category_facet(F.col("quantity"))),
+        "returned": count_where(in_category_facet(F.col("is_returned"))),
+        "lines": count_where(facet == facets["category"]),
     }
-    # grouping(c) is 0 where c is one of the set's columns, so each set is known by its facet.
-    facet = case(*[(F.grouping(c) == 0, i) for c, i in facets.items()])
     folded = (
         delivered(orders)
-        .groupingSets([["year", c] for c in facets], "year", *facets)
-        .agg(facet.alias("facet"), *[c.alias(n) for n, c in sums.items()])
+        .withColumn("facet", F.explode(F.array(*[F.lit(i) for i in facets.values()])))
+        .groupBy("year", "facet", *in_facet.values())
+        .agg(*[c.alias(n) for n, c in sums.items()])
         .groupBy("year", "facet", "category")
         .agg(
             F.count("order_id").alias("total_orders"), F.count("customer_id").alias("unique_buyers"),
             *[F.sum(n).alias(n) for n in sums],
         )
     )
-    in_category = F.col("facet") == facets["category"]
+    in_category = facet == facets["category"]
     yearly = folded.groupBy("year").agg(
         F.sum("total_orders").alias("total_orders"),
         F.sum("unique_buyers").alias("unique_buyers"),
