@@ -193,6 +193,67 @@ def test_repeated_passages(spark, docs_of):
     assert by[10][0]["partner_id"] == 13 and (by[10][0]["start"], by[10][0]["stop"]) == (0, 20_000)
 
 
+def changed_copies():
+    """(a, b, words of the passage in a, in b): copies with words put in, left out or replaced, amid 60 words of their own."""
+    draw, out = random.Random(21), []
+    for case in range(120):
+        words = prose(5000 + case, draw.randint(60, 200)).split()
+        copy, at = list(words), draw.randrange(10, len(words) - 10)
+        kind, n = ("in", "out", "replaced", "both")[case % 4], draw.randint(1, max(2, len(words) // 10))
+        if kind in ("out", "both"):
+            del copy[at : at + n]
+        if kind in ("in", "both"):
+            copy[at:at] = [f"put{case}x{k}" for k in range(n)]
+        if kind == "replaced":
+            copy[at] = f"other{case}"
+        pad = [[f"pad{case}x{k}x{j}" for j in range(60)] for k in range(4)]
+        out.append((pad[0] + words + pad[1], pad[2] + copy + pad[3], len(words), len(copy)))
+    return out
+
+
+def test_passages_with_words_put_in_or_left_out_are_found():
+    """Whatever the sides' lengths: each pair whose whole passages reach the similarity is found, and whole."""
+    numbers = {}
+    as_shingles = lambda w: np.array([numbers.setdefault(tuple(w[k : k + 5]), len(numbers) + 1) for k in range(len(w) - 4)], np.uint64)
+    unequal = 0
+    for words, copy, n, m in changed_copies():
+        a, b = as_shingles(words), as_shingles(copy)
+        mine, theirs = set(a[60 : 60 + n - 4].tolist()), set(b[60 : 60 + m - 4].tolist())
+        jaccard = len(mine & theirs) / len(mine | theirs)
+        if jaccard < 0.8 or m < 50:
+            continue
+        unequal += abs(n - m) >= 5 and jaccard < 0.9
+        shared = [i for i in range(60, 60 + n - 4) if int(a[i]) in theirs]
+        for at in (shared[0], shared[len(shared) // 2], shared[-1]):
+            there = int(np.flatnonzero(b == a[at])[0])
+            got = compact_windows.near_passages(a, b, np.unique(b), np.array([at]), np.array([there]), 46, 0.8)
+            assert len(got) == 1, (n, m, jaccard)
+            a1, a2, b1, b2, similarity = got[0]
+            assert (a1, a2) == (60, 60 + n - 5) and (b1, b2) == (60, 60 + m - 5)
+            assert similarity == pytest.approx(jaccard)
+    assert unequal >= 10
+
+
+def test_a_passage_is_cut_back_until_it_is_similar():
+    """70 equal shingles, then every second one differs in both: the run of both is below the similarity, the equal part is not."""
+    equal = list(range(1, 71))
+    a = np.array(equal + [x for k in range(25) for x in (100 + k, 1000 + k)], np.uint64)
+    b = np.array(equal + [x for k in range(25) for x in (100 + k, 2000 + k)], np.uint64)
+    (got,) = compact_windows.near_passages(a, b, np.unique(b), np.array([30]), np.array([30]), 46, 0.8)
+    assert got[0] == got[2] == 0 and got[1] >= 69 and got[4] >= 0.8
+
+
+def test_a_passage_with_words_put_in_is_reported(docs_of):
+    rows = []
+    for i in range(12):
+        words = prose(7000 + i, 70).split()
+        longer = words[:35] + [f"new{i}x{k}" for k in range(5)] + words[35:]
+        rows += [(2 * i, f"{prose(7100 + i, 60)} {' '.join(words)} {prose(7200 + i, 60)}")]
+        rows += [(2 * i + 1, f"{prose(7300 + i, 60)} {' '.join(longer)} {prose(7400 + i, 60)}")]
+    got = compact_windows.repeated_passages(docs_of(rows)).collect()
+    assert len(got) >= 18 and all(r["partner_id"] == r["doc_id"] ^ 1 and 0.8 <= r["similarity"] < 0.85 for r in got)
+
+
 def test_a_common_line_does_not_hide_a_passage_around_it(docs_of):
     line, rows = prose(999, 12), []
     for i in range(300):
