@@ -96,7 +96,7 @@ def _count(vocabulary: Vocabulary):
 
 
 def _with_trust(docs: DataFrame, trusted: DataFrame, text: str, doc_id: str) -> DataFrame:
-    ids = F.broadcast(trusted.select("id", F.lit(True).alias("trusted")))
+    ids = trusted.select("id", F.lit(True).alias("trusted"))
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(ids, "id", "left")
     return rows.select("id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
 
@@ -107,7 +107,7 @@ def train(
     """(target model, background model).
 
     The background counts every word and pair of every document; the target those of the documents whose ``id`` is in
-    ``trusted``, a table of bounded size. Each task sends what it has counted, so what is gathered grows with the
+    ``trusted``, however many. Each task sends what it has counted, so what is gathered grows with the
     corpus; the summed tables are bounded by the vocabulary, and only they come to the driver.
     """
     vocabulary = vocabulary or Vocabulary()

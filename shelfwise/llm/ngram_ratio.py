@@ -84,24 +84,24 @@ def _buckets(words: str, pairs: str, n_buckets: int) -> Column:
     return F.transform(F.concat(words, pairs), lambda h: F.pmod(h, F.lit(n_buckets)).cast("int"))
 
 
-def trusted_ids(labels: DataFrame, doc_id: str, label: str, most: int) -> DataFrame:
-    """Ids of documents labelled 1 and never 0: at most ``most``, those first by a hash; bounded, so fit to broadcast."""
+def trusted_ids(labels: DataFrame, doc_id: str, label: str, most: int | None = None) -> DataFrame:
+    """Ids of documents labelled 1 and never 0: all, or ``most`` of them, those first by a hash."""
     good = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").alias("label")).dropna()
     good = good.groupBy("id").agg(F.min("label").alias("label")).filter("label = 1").select("id")
-    return good.orderBy(F.xxhash64("id"), "id").limit(most)
+    return good if most is None else good.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
 def bucket_weights(
     docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality",
-    n_buckets: int = 1 << 16, most_trusted: int = 20_000, smoothing: float = 1.0,
+    n_buckets: int = 1 << 16, most_trusted: int | None = None, smoothing: float = 1.0,
 ) -> DataFrame:
     """(bucket, weight): the log-likelihood ratio of target and corpus for each bucket that occurs; 0 without a target.
 
-    The corpus counts cover every n-gram of every document; the target's are those of ``trusted_ids``. Counts are
+    The corpus counts cover every n-gram of every document; the target's are those of all ``trusted_ids``. Counts are
     summed per task before the shuffle: never more than ``n_buckets`` rows from a task. They are counted once, when
     this is called, and written to the checkpoint folder.
     """
-    trusted = F.broadcast(trusted_ids(labels, doc_id, label, most_trusted).withColumn("trusted", F.lit(1)))
+    trusted = trusted_ids(labels, doc_id, label, most_trusted).withColumn("trusted", F.lit(1))
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text_")).join(trusted, "id", "left")
     rows = with_hashes(rows, "text_", "words", "pairs")
     grams = rows.select(F.explode(_buckets("words", "pairs", n_buckets)).alias("bucket"), F.coalesce("trusted", F.lit(0)).alias("trusted"))

@@ -46,7 +46,7 @@ def op3_ngram_ratio(spark: SparkSession, folder: str) -> DataFrame:
 def op4_entropy_difference(spark: SparkSession, folder: str) -> DataFrame:
     """The losses of every document under the target's and the background's model."""
     docs = read_table(spark, folder, "documents")
-    trusted = ngram_ratio.trusted_ids(read_table(spark, folder, "labels"), "doc_id", "quality", most=20_000)
+    trusted = ngram_ratio.trusted_ids(read_table(spark, folder, "labels"), "doc_id", "quality")
     return entropy_difference.score(docs, trusted, *entropy_difference.train(docs, trusted))
 
 

@@ -272,6 +272,16 @@ def test_losses_equal_brute_force(docs_of, labels_of, small_docs):
         assert r["score"] == pytest.approx(r["target_loss"] - r["background_loss"], abs=1e-9)
 
 
+def test_every_good_label_counts_in_the_target(spark):
+    n, buckets = 20_500, 1 << 16
+    docs = spark.range(n + 1).selectExpr("id AS doc_id", f"IF(id < {n}, 'good', 'bad') AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality")
+    assert ngram_ratio.trusted_ids(labels, "doc_id", "quality").count() == n
+    weights = sorted(r["weight"] for r in ngram_ratio.bucket_weights(docs, labels).collect())
+    share = lambda count, total: (count + 1) / (total + buckets)
+    assert weights == pytest.approx(sorted(math.log(share(k, n) / share(r, n + 1)) for k, r in ((n, n), (0, 1))), rel=1e-9)
+
+
 def test_flat_models_without_trusted_documents(docs_of, labels_of):
     nobody = ngram_ratio.trusted_ids(labels_of([]), "doc_id", "quality", 10)
     models = entropy_difference.train(docs_of(ODD), nobody)
