@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm import (
     compact_windows,
+    conversation_repair,
     disclosure,
     entropy_difference,
     gray_simhash,
     license_templates,
     ngram_ratio,
     pairwise_quality,
+    periodic_runs,
     residual_packing,
     secret_ledger,
     spans,
+    vector_graph,
     wu_manber,
 )
 from shelfwise.llm.common import read_table
@@ -102,11 +105,43 @@ def op10_license_templates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in every document, a tenth of which have words repeated on purpose."""
+    docs = periodic_runs.repeat_words(read_table(spark, folder, "documents"))
+    found, name = periodic_runs.collapse_runs(docs, ["doc_id"])
+    runs, best = F.col(name["runs"]), F.col("best")
+    found = found.withColumn("best", periodic_runs.strongest(runs))
+    return found.select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(runs), 256).alias("runs_sha256"), F.sha2(name["collapsed"], 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_vector_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 rows found nearest to every hundredth vector."""
+    vectors = read_table(spark, folder, "embeddings")
+    return vector_graph.search_index(vector_graph.build_index(vectors), vectors.filter(F.col("vec_id") % 100 == 0), 10)
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every conversation, damaged on purpose, its cheapest edits and the digest of what they leave."""
+    conversations = read_table(spark, folder, "conversations")
+    turns, report = conversation_repair.repair(conversation_repair.damage(conversations))
+    digests = conversation_repair.digests(turns).withColumnRenamed("conversation", "same")
+    report = report.join(digests, F.col("conversation").eqNullSafe(F.col("same")), "left")
+    every = conversations.select("conv_id").distinct().join(report, F.col("conv_id").eqNullSafe(F.col("conversation")), "left")
+    numbers = (F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    digest = F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return every.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), digest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_residual_packing, op3_ngram_ratio, op4_entropy_difference, op5_pairwise_quality, op6_disclosure,
-        op7_gray_simhash, op8_compact_windows, op9_wu_manber, op10_license_templates,
+        op7_gray_simhash, op8_compact_windows, op9_wu_manber, op10_license_templates, op11_periodic_runs, op12_vector_graph,
+        op13_conversation_repair,
     )
 }
 
