@@ -332,6 +332,6 @@ def test_repaired_turns(spark, turns_of):
 
 
 def test_walks_by_hand():
-    assert conversation_repair.walk("su", conversation_repair._END, (0,))[0] == ("DD", 0)
+    assert conversation_repair.walk("su", conversation_repair._END, (0,))[0] == ("RR", 3)
     assert conversation_repair.walk("uaUA", conversation_repair._END, (0,))[0] == ("KKDD", 3)
     assert [a for a in conversation_repair.actions("u", "KI", 0)] == [("K", 0, None), ("I", 1, "assistant")]
