@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import binary, slices
+from shelfwise.llm.ngram_ratio import trusted_rows
 from shelfwise.llm.words import NOT_BLANK, Words, join_hashes, read_words
 
 
@@ -74,31 +75,27 @@ def own_counts(whose: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return counts[group]
 
 
-def _count(vocabulary: Vocabulary):
+def _count(rows: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, ...]:
+    """How often each word, word as a history and pair occurs in the ``text`` of rows."""
     edges = np.cumsum([0, *vocabulary.sizes])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, edges[-1]), np.int64)
+        counts = np.zeros(edges[-1], np.int64)
         for batch in batches:
-            texts, trusted = binary(batch.column(0)), np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
+            texts = binary(batch.column(0))
             for first, stop in slices(texts):
                 words = read_words(texts.slice(first, stop - first), NOT_BLANK, lower=True)
-                mine = np.repeat(trusted[first:stop], words.counts())
                 for edge, size, ids in zip(edges, vocabulary.sizes, vocabulary.ids(words)):
-                    counts[0, edge : edge + size] += np.bincount(ids, minlength=size)
-                    counts[1, edge : edge + size] += np.bincount(ids[mine], minlength=size)
-        some = np.flatnonzero(counts[0])
+                    counts[edge : edge + size] += np.bincount(ids, minlength=size)
+        some = np.flatnonzero(counts)
         for at in range(0, len(some), 1 << 16):
             part = some[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0, part]), pa.array(counts[1, part])], names=["id", "raw", "target"])
-
-    return step
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=["id", "n"])
 
-
-def _with_trust(docs: DataFrame, trusted: DataFrame, text: str, doc_id: str) -> DataFrame:
-    ids = trusted.select("id", F.lit(True).alias("trusted"))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(ids, "id", "left")
-    return rows.select("id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    summed = rows.select(F.col("text").cast("string")).mapInArrow(step, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(edges[-1])
+    counts[np.asarray(summed["id"]).astype(np.int64)] = np.asarray(summed["n"])
+    return tuple(counts[i:j].copy() for i, j in zip(edges, edges[1:]))
 
 
 def train(
@@ -111,35 +108,28 @@ def train(
     corpus; the summed tables are bounded by the vocabulary, and only they come to the driver.
     """
     vocabulary = vocabulary or Vocabulary()
-    rows = _with_trust(docs, trusted, text, doc_id)
-    counted = rows.select("text", "trusted").mapInArrow(_count(vocabulary), "id long, raw long, target long")
-    table = counted.groupBy("id").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    edges = np.cumsum([0, *vocabulary.sizes])
-    raw, target = np.zeros(edges[-1]), np.zeros(edges[-1])
-    ids = np.asarray(table["id"]).astype(np.int64)
-    raw[ids], target[ids] = np.asarray(table["raw"]), np.asarray(table["target"])
-    scale = float(target[: edges[1]].sum() / max(1.0, raw[: edges[1]].sum()))
-    cut = lambda a: [a[i:j].copy() for i, j in zip(edges, edges[1:])]
-    return BigramModel(*cut(target), prior), BigramModel(*cut(raw * scale), prior, scale)
+    raw = _count(docs.select(F.col(f"`{text}`").alias("text")), vocabulary)
+    target = _count(trusted_rows(docs, trusted, text, doc_id), vocabulary)
+    scale = float(target[0].sum() / max(1.0, raw[0].sum()))
+    return BigramModel(*target, prior), BigramModel(*(x * scale for x in raw), prior, scale)
 
 
 def _score(models, vocabulary: Vocabulary):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, trusted = binary(batch.column(1)), np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
+            texts, (target, background) = binary(batch.column(1)), models.value
             for first, stop in slices(texts):
                 words = read_words(texts.slice(first, stop - first), NOT_BLANK, lower=True)
                 ids, n, whose = vocabulary.ids(words), words.counts(), words.text_of()
                 own, length = tuple(own_counts(whose, i) for i in ids), n[whose]
-                seen = trusted[first:stop][whose]
-                means = []
-                for model, part in zip(models.value, (seen, np.ones(len(whose), bool))):
-                    losses = model.losses(ids, tuple(np.where(part, o, 0) for o in own), np.where(part, length, 0))
+                none, means = np.zeros(len(whose)), []
+                for model, counts, size in ((target, own, length), (target, (none,) * 3, none), (background, own, length)):
+                    losses = model.losses(ids, counts, size)
                     total = np.concatenate([[0.0], np.cumsum(losses, dtype=np.float64)])
                     means.append((total[words.first[1:]] - total[words.first[:-1]]) / np.maximum(n, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, stop - first), pa.array(n, pa.int64()), *map(pa.array, (*means, means[0] - means[1]))],
-                    names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
+                    [batch.column(0).slice(first, stop - first), pa.array(n, pa.int64()), *map(pa.array, means)],
+                    names=["doc_id", "n_tokens", "without_own", "as_it_is", "background_loss"],
                 )
 
     return step
@@ -158,6 +148,14 @@ def score(
     """
     vocabulary = vocabulary or Vocabulary()
     models = docs.sparkSession.sparkContext.broadcast((target, background))
-    rows = _with_trust(docs, trusted, text, doc_id)
-    kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(_score(models, vocabulary), f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    kind = rows.schema["id"].dataType
+    scored = rows.mapInArrow(
+        _score(models, vocabulary),
+        f"doc_id {kind.simpleString()}, n_tokens long, without_own double, as_it_is double, background_loss double",
+    )
+    # both losses under the target's model are there before it is known whether the target has seen the text: only numbers are joined
+    ids = trusted.select(F.col("id").cast(kind).alias("doc_id"), F.lit(True).alias("trusted"))
+    joined = scored.join(ids.hint("shuffle_hash"), "doc_id", "left")
+    loss = F.when(F.col("trusted"), F.col("without_own")).otherwise(F.col("as_it_is"))
+    return joined.select("doc_id", "n_tokens", loss.alias("target_loss"), "background_loss", (loss - F.col("background_loss")).alias("score"))

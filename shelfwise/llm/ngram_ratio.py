@@ -91,21 +91,43 @@ def trusted_ids(labels: DataFrame, doc_id: str, label: str, most: int | None = N
     return good if most is None else good.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
+def trusted_rows(docs: DataFrame, trusted: DataFrame, text: str, doc_id: str, n_bits: int = 1 << 23) -> DataFrame:
+    """(id, text) of the documents whose id is in ``trusted`` (unique ids in a column ``id``), null ids never.
+
+    A bitmap of ``n_bits`` hashed ids, a constant of the plan at every size, drops nearly all other rows before the
+    texts are shuffled; the exact join decides. Its strategy is fixed, so that small and large inputs take the same plan.
+    """
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    ids = trusted.select(F.col("id").cast(rows.schema["id"].dataType).alias("id"))
+    spot = F.pmod(F.xxhash64("id"), F.lit(n_bits)).alias("spot")
+    bit = "shiftleft(1L, CAST(spot % 64 AS INT))"
+    words = ids.select(spot).groupBy(F.expr("spot div 64").alias("word")).agg(F.expr(f"bit_or({bit})").alias("bits"))
+    every = docs.sparkSession.range(n_bits // 64).withColumnRenamed("id", "place").join(words, F.col("place") == F.col("word"), "left")
+    in_order = F.sort_array(F.collect_list(F.struct("place", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    bitmap = every.agg(F.transform(in_order, lambda x: x["bits"]).alias("bitmap")).scalar()
+    possible = rows.select("id", "text", spot).withColumn("bitmap", bitmap).filter(F.expr(f"get(bitmap, CAST(spot div 64 AS INT)) & {bit} <> 0"))
+    return possible.select("id", "text").join(ids.hint("shuffle_hash"), "id", "left_semi")
+
+
 def bucket_weights(
     docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality",
     n_buckets: int = 1 << 16, most_trusted: int | None = None, smoothing: float = 1.0,
 ) -> DataFrame:
     """(bucket, weight): the log-likelihood ratio of target and corpus for each bucket that occurs; 0 without a target.
 
-    The corpus counts cover every n-gram of every document; the target's are those of all ``trusted_ids``. Counts are
-    summed per task before the shuffle: never more than ``n_buckets`` rows from a task. They are counted once, when
-    this is called, and written to the checkpoint folder.
+    The corpus counts cover every n-gram of every document, in a scan without a join; the target's are those of all
+    ``trusted_ids``, the only texts that are shuffled. Counts are summed per task before the shuffle: never more than
+    ``n_buckets`` rows from a task. They are counted once, when this is called, and written to the checkpoint folder.
     """
-    trusted = trusted_ids(labels, doc_id, label, most_trusted).withColumn("trusted", F.lit(1))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text_")).join(trusted, "id", "left")
-    rows = with_hashes(rows, "text_", "words", "pairs")
-    grams = rows.select(F.explode(_buckets("words", "pairs", n_buckets)).alias("bucket"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
-    counts = reliable(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")))
+    trusted = trusted_ids(labels, doc_id, label, most_trusted)
+
+    def count(rows: DataFrame, name: str) -> DataFrame:
+        grams = with_hashes(rows, "text", "words", "pairs").select(F.explode(_buckets("words", "pairs", n_buckets)).alias("bucket"))
+        return grams.groupBy("bucket").agg(F.count("*").alias(name))
+
+    raw = count(docs.select(F.col(f"`{text}`").alias("text")), "raw")
+    target = count(trusted_rows(docs, trusted, text, doc_id), "target")
+    counts = reliable(raw.join(target, "bucket", "left").select("bucket", "raw", F.coalesce("target", F.lit(0)).alias("target")))
     raw_all, target_all = counts.agg(F.sum("raw"), F.sum("target")).first()
     if not target_all:
         return counts.select("bucket", F.lit(0.0).alias("weight"))

@@ -282,6 +282,19 @@ def test_every_good_label_counts_in_the_target(spark):
     assert weights == pytest.approx(sorted(math.log(share(k, n) / share(r, n + 1)) for k, r in ((n, n), (0, 1))), rel=1e-9)
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 12])
+def test_only_texts_of_trusted_documents_are_shuffled(spark, bits):
+    """The bitmap drops most rows ahead of the only exchange that carries texts; what it lets through is joined exactly."""
+    docs = spark.range(4000).selectExpr("IF(id % 3 = 0, 7, IF(id % 50 = 1, NULL, id)) AS doc_id", "CONCAT('text ', id) AS text")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 200, 4)] + [(7, 1), (8, 0), (None, 1)], "doc_id int, quality int")
+    trusted = ngram_ratio.trusted_ids(labels, "doc_id", "quality")
+    rows = ngram_ratio.trusted_rows(docs, trusted, "text", "doc_id", bits)
+    good = {i for i in range(0, 200, 4)} - {8} | {7}
+    same_rows(rows.collect(), [tuple(r) for r in docs.collect() if r["doc_id"] in good])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and plan.index("Exchange hashpartitioning(id") < plan.index("ubquery")
+
+
 def test_flat_models_without_trusted_documents(docs_of, labels_of):
     nobody = ngram_ratio.trusted_ids(labels_of([]), "doc_id", "quality", 10)
     models = entropy_difference.train(docs_of(ODD), nobody)
