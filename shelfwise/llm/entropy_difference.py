@@ -1,72 +1,151 @@
 """LM scoring by cross-entropy difference.
 
-Two bigram models, of a trusted target and of the whole corpus as background, share one vocabulary: words are
-hashed to 2^18 ids and pairs of neighbours to 2^20. They are matched: the same order, smoothing and vocabulary, and
-the background's counts scaled to the target's mass. A document's score is its loss per word under the target's
-model less that under the background's: the lower, the more it is like the target. What the document itself has
-added to a model's counts is taken out before it is scored, else a model would know what it has seen.
+Two bigram models, of a trusted target and of the whole corpus as background, share one vocabulary: every word, every
+word as a history and every pair of neighbours of the corpus. They are matched: the same order, smoothing and
+vocabulary, and the background's counts scaled to the target's mass. A document's score is its loss per word under the
+target's model less that under the background's: the lower, the more it is like the target. What the document itself
+has added to a model's counts is taken out before it is scored, else a model would know what it has seen.
+
+The counts are exact for keys of ``KEY_BITS`` bits and grow with the corpus; no table of them is collected or
+broadcast. A block of texts asks for the counts of its distinct grams, dealt out by ranges of keys; each range adds up
+what all blocks have asked and answers every one; the answers meet the block's texts again, which are scored there.
+A gram that all texts hold is one entry a block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import binary, slices
 from shelfwise.llm.ngram_ratio import trusted_rows
-from shelfwise.llm.words import NOT_BLANK, Words, join_hashes, read_words
+from shelfwise.llm.words import NOT_BLANK, join_hashes, mix, read_words
 
+U64 = np.uint64
+#: Grams are equal if so many bits of their hashes are: with n distinct ones some n / 2^48 of them share a key with another.
+KEY_BITS = 48
+#: Bytes of text of a block, and of the texts whose grams a range of keys holds.
+BLOCK_BYTES, RANGE_BYTES = 1 << 18, 1 << 24
+#: The nominal number of words that the mass of unseen ones is spread over, and the prior's weight in words.
+UNSEEN, PRIOR = 1 << 18, 2.0
+_HISTORY = U64(0x5851F42D4C957F2D)
+_TARGET = -1  # in place of a block: counts of the target, which want no answer
 
-@dataclass(frozen=True)
-class Vocabulary:
-    """Ids of words and of pairs of words, by the high bits of their hashes."""
 
-    word_bits: int = 18
-    pair_bits: int = 20
+def _keys(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U64(64 - KEY_BITS)).astype(np.int64)
 
-    @property
-    def sizes(self) -> tuple[int, int, int]:
-        """Of the tables of words, of words as a history, and of pairs."""
-        return 1 << self.word_bits, 1 << self.word_bits, 1 << self.pair_bits
 
-    def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each word: its id, the id of the word before (the first has the empty one before it), the pair's id."""
-        before = np.empty_like(words.hash)
-        before[1:] = words.hash[:-1]
-        before[words.first[:-1][words.counts() > 0]] = 0
-        high = lambda h, bits: (h >> np.uint64(64 - bits)).astype(np.int64)
-        return high(words.hash, self.word_bits), high(before, self.word_bits), high(join_hashes(before, words.hash), self.pair_bits)
+def gram_keys(texts: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The number of words of each text, and of each word the keys of itself, of the word before as a history, and of the pair.
 
+    The first word of a text has the empty word before it.
+    """
+    words = read_words(texts, NOT_BLANK, lower=True)
+    before = np.empty_like(words.hash)
+    before[1:] = words.hash[:-1]
+    before[words.first[:-1][words.counts() > 0]] = 0
+    return words.counts(), (_keys(words.hash), _keys(mix(before ^ _HISTORY)), _keys(join_hashes(before, words.hash)))
 
-@dataclass
-class BigramModel:
-    """Counts, smoothed: pairs by a Dirichlet prior on the word's probability, words by adding one.
 
-    ``scale`` is what a word of the corpus adds to the counts.
-    """
+def _packed(ordered: np.ndarray) -> bytes:
+    """Sorted keys, as the steps from one to the next in as few bytes as the longest needs."""
+    steps = np.diff(ordered, prepend=0).astype("<u8")
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    width = packed[0]
+    steps = np.zeros(((len(packed) - 1) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(steps.view("<u8").ravel().astype(np.int64))
+
+
+_ASKED = "kind int, address long, block long, part int, keys binary, counts binary, numbers array<long>, places binary"
+_ANSWERED = "kind int, block long, part int, counts binary, numbers array<long>, places binary"
+_GRAMS, _TEXTS = 0, 1
+_NUMBERS = pa.list_(pa.int64())
+
+
+def _asks(parts: int, target: bool):
+    """Texts -> for each block and range of keys its grams and their counts; and the block's texts as places in its grams."""
+
+    bounds = np.array([(p << KEY_BITS) // parts for p in range(parts + 1)])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            texts = binary(batch.column(0))
+            for first, stop in slices(texts, BLOCK_BYTES):
+                n, keys = gram_keys(texts.slice(first, stop - first))
+                grams, place, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+                edges = np.searchsorted(grams, bounds)
+                rows = [
+                    (_GRAMS, p, _TARGET if target else block, p, _packed(grams[a:b]), count[a:b].astype("<i4").tobytes(), None, None)
+                    for p, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist())) if a < b
+                ]
+                if not target:
+                    numbers = batch.column(1).slice(first, stop - first).to_pylist()
+                    narrow = place.astype("<u2" if len(grams) <= 1 << 16 else "<u4")
+                    rows.append((_TEXTS, block, block, -1, None, None, [len(grams), *(x for pair in zip(numbers, n.tolist()) for x in pair)], narrow.tobytes()))
+                block += 1
+                yield _batch(rows, _ASK_TYPES)
 
-    words: np.ndarray
-    histories: np.ndarray
-    pairs: np.ndarray
-    prior: float
-    scale: float = 1.0
+    return step
 
-    def __post_init__(self):
-        self.total = float(self.words.sum())
-        self.words, self.histories, self.pairs = (x.astype(np.float32) for x in (self.words, self.histories, self.pairs))
 
-    def losses(self, ids: tuple[np.ndarray, ...], own: tuple[np.ndarray, ...], length: np.ndarray) -> np.ndarray:
-        """Nats of each word given the one before, without ``own`` counts of its text and its ``length`` in words."""
-        word, before, pair = (
-            np.maximum(counts[i] - self.scale * n, 0.0) for counts, i, n in zip((self.words, self.histories, self.pairs), ids, own)
-        )
-        share = (word + 1) / (np.maximum(self.total - self.scale * length, 0.0) + len(self.words))
-        return -np.log((pair + self.prior * share) / (before + self.prior))
+_ASK_TYPES = {
+    "kind": pa.int32(), "address": pa.int64(), "block": pa.int64(), "part": pa.int32(), "keys": pa.binary(), "counts": pa.binary(),
+    "numbers": _NUMBERS, "places": pa.binary(),
+}
+_ANSWER_TYPES = {k: t for k, t in _ASK_TYPES.items() if k not in ("address", "keys")}
+
+
+def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ([] for _ in types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by kind and range -> to each block of a range the counts of its grams in all; texts pass."""
+    part, asked = None, []
+    for batch in batches:
+        kinds = batch.column(0).to_numpy()
+        grams = int(np.searchsorted(kinds, _TEXTS))
+        for row in batch.slice(0, grams).select(["block", "part", "keys", "counts"]).to_pylist():
+            if row["part"] != part and asked:
+                yield from _summed(part, asked)
+                asked = []
+            part = row["part"]
+            asked.append((row["block"], _unpacked(row["keys"]), np.frombuffer(row["counts"], "<i4")))
+        if grams < len(batch):
+            yield batch.slice(grams).select(list(_ANSWER_TYPES))
+    if asked:
+        yield from _summed(part, asked)
+
+
+def _summed(part: int, asked: list) -> Iterator[pa.RecordBatch]:
+    grams, place = np.unique(np.concatenate([keys for _, keys, _ in asked]), return_inverse=True)
+    totals = np.zeros((2, len(grams)), np.int64)
+    at = 0
+    for block, keys, counts in asked:  # a gram is in an ask once
+        totals[int(block == _TARGET), place[at : at + len(keys)]] += counts
+        at += len(keys)
+    at = 0
+    for block, keys, _ in asked:
+        if block != _TARGET:
+            own = totals[:, place[at : at + len(keys)]]
+            width = 4 if own.max(initial=0) < 1 << 32 else 8
+            yield _batch([(_GRAMS, block, part, own.astype(f"<u{width}").tobytes(), [width], None)], _ANSWER_TYPES)
+        at += len(keys)
 
 
 def own_counts(whose: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -75,87 +154,94 @@ def own_counts(whose: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return counts[group]
 
 
-def _count(rows: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, ...]:
-    """How often each word, word as a history and pair occurs in the ``text`` of rows."""
-    edges = np.cumsum([0, *vocabulary.sizes])
+def losses(counts: tuple[np.ndarray, ...], own: tuple[np.ndarray, ...], length: np.ndarray, total: float, scale: float) -> np.ndarray:
+    """Nats of each word given the one before, from the counts of word, history and pair, without ``own`` counts and ``length`` words.
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(edges[-1], np.int64)
-        for batch in batches:
-            texts = binary(batch.column(0))
-            for first, stop in slices(texts):
-                words = read_words(texts.slice(first, stop - first), NOT_BLANK, lower=True)
-                for edge, size, ids in zip(edges, vocabulary.sizes, vocabulary.ids(words)):
-                    counts[edge : edge + size] += np.bincount(ids, minlength=size)
-        some = np.flatnonzero(counts)
-        for at in range(0, len(some), 1 << 16):
-            part = some[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=["id", "n"])
-
-    summed = rows.select(F.col("text").cast("string")).mapInArrow(step, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(edges[-1])
-    counts[np.asarray(summed["id"]).astype(np.int64)] = np.asarray(summed["n"])
-    return tuple(counts[i:j].copy() for i, j in zip(edges, edges[1:]))
-
-
-def train(
-    docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: Vocabulary | None = None, prior: float = 2.0
-) -> tuple[BigramModel, BigramModel]:
-    """(target model, background model).
-
-    The background counts every word and pair of every document; the target those of the documents whose ``id`` is in
-    ``trusted``, however many. Each task sends what it has counted, so what is gathered grows with the
-    corpus; the summed tables are bounded by the vocabulary, and only they come to the driver.
+    Pairs are smoothed by a Dirichlet prior on the word's probability, words by adding one. ``scale`` is what an
+    occurrence adds to a model's counts, of which ``total`` are words.
     """
-    vocabulary = vocabulary or Vocabulary()
-    raw = _count(docs.select(F.col(f"`{text}`").alias("text")), vocabulary)
-    target = _count(trusted_rows(docs, trusted, text, doc_id), vocabulary)
-    scale = float(target[0].sum() / max(1.0, raw[0].sum()))
-    return BigramModel(*target, prior), BigramModel(*(x * scale for x in raw), prior, scale)
+    word, before, pair = (np.maximum(scale * (c - n), 0.0) for c, n in zip(counts, own))
+    share = (word + 1) / (np.maximum(total - scale * length, 0.0) + UNSEEN)
+    return -np.log((pair + PRIOR * share) / (before + PRIOR))
 
 
-def _score(models, vocabulary: Vocabulary):
+def _scores(words: int, target_words: int):
+    """Answers, then the texts of each block -> number, words and mean losses of each text."""
+    scale = target_words / max(1, words)
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
         for batch in batches:
-            texts, (target, background) = binary(batch.column(1)), models.value
-            for first, stop in slices(texts):
-                words = read_words(texts.slice(first, stop - first), NOT_BLANK, lower=True)
-                ids, n, whose = vocabulary.ids(words), words.counts(), words.text_of()
-                own, length = tuple(own_counts(whose, i) for i in ids), n[whose]
-                none, means = np.zeros(len(whose)), []
-                for model, counts, size in ((target, own, length), (target, (none,) * 3, none), (background, own, length)):
-                    losses = model.losses(ids, counts, size)
-                    total = np.concatenate([[0.0], np.cumsum(losses, dtype=np.float64)])
-                    means.append((total[words.first[1:]] - total[words.first[:-1]]) / np.maximum(n, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, stop - first), pa.array(n, pa.int64()), *map(pa.array, means)],
-                    names=["doc_id", "n_tokens", "without_own", "as_it_is", "background_loss"],
-                )
+            out = []
+            for row in batch.to_pylist():
+                if row["block"] != block:
+                    block, held = row["block"], []
+                if row["kind"] == _GRAMS:
+                    held.append(np.frombuffer(row["counts"], f"<u{row['numbers'][0]}").reshape(2, -1))
+                    continue
+                n_grams, numbers, n = row["numbers"][0], row["numbers"][1::2], np.array(row["numbers"][2::2], np.int64)
+                counts = np.concatenate([np.zeros((2, 0)), *held], axis=1).astype(np.float64)
+                if counts.shape[1] != n_grams:
+                    raise RuntimeError("a block of texts lacks the counts of some of its grams")
+                places = np.frombuffer(row["places"], "<u2" if n_grams <= 1 << 16 else "<u4").astype(np.int64).reshape(3, -1)
+                whose = np.repeat(np.arange(len(n)), n)
+                own, length = tuple(own_counts(whose, p) for p in places), n[whose]
+                raw, target = (tuple(c[p] for p in places) for c in counts)
+                none = (np.zeros(len(whose)),) * 3
+                means = []
+                for found, seen, size, total, weight in (
+                    (target, own, length, target_words, 1.0), (target, none, none[0], target_words, 1.0), (raw, own, length, scale * words, scale),
+                ):
+                    each = np.bincount(whose, losses(found, seen, size, total, weight), len(n))
+                    means.append((each / np.maximum(n, 1)).tolist())
+                out += list(zip(numbers, n.tolist(), *means))
+            yield _batch(out, _SCORE_TYPES)
 
     return step
 
 
-def score(
-    docs: DataFrame, trusted: DataFrame, target: BigramModel, background: BigramModel, text: str = "text", doc_id: str = "doc_id",
-    vocabulary: Vocabulary | None = None,
-) -> DataFrame:
-    """One row per document: doc_id, n_tokens, target_loss, background_loss (nats a word), score (their difference).
+_SCORED = "id long, n_tokens long, without_own double, as_it_is double, background_loss double"
+_SCORE_TYPES = {
+    "id": pa.int64(), "n_tokens": pa.int64(), "without_own": pa.float64(), "as_it_is": pa.float64(), "background_loss": pa.float64(),
+}
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = [np.empty(0, np.int64)]
+        texts = binary(batch.column(0))
+        for first, stop in slices(texts):
+            n.append(read_words(texts.slice(first, stop - first), NOT_BLANK).counts())
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.concatenate(n), pa.int64()), pc.binary_length(texts).cast(pa.int64())], names=["id", "words", "bytes"])
+
+
+def score(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per document: doc_id (long), n_tokens, target_loss, background_loss (nats a word), score (their difference).
+
+    The background counts every word and pair of every document; the target those of all documents whose ``id`` is in
+    ``trusted`` (unique ids), however many. A document of the target is scored as if it had not been there, and each one
+    as if it were not in the background. Words are runs without white space, A-Z lower-cased. A text without words,
+    null included, has losses and score 0. Without any trusted document both models are flat and all scores 0. Null ids and
+    repeated rows are scored like any; a null id is never trusted. An empty table gives an empty one.
 
-    ``docs`` are those the background was trained on, and ``trusted`` the ids of those the target was: each document is
-    scored as if it had not been there. Words are runs without white space, A-Z lower-cased. A text without words, null
-    included, has losses and score 0. Without any trusted document both models are flat and all scores 0. Null ids and
-    repeated rows are scored like any. The models are two tables of bounded size and are broadcast.
+    Texts are read twice: for the number of words of both models when this is called, and for the grams. Shuffled are
+    about 6 bytes of keys and 2 to 12 of places for each word of a block, their counts, and the texts of the target. A
+    text is never split, so a very long one is a block of its own.
     """
-    vocabulary = vocabulary or Vocabulary()
-    models = docs.sparkSession.sparkContext.broadcast((target, background))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    kind = rows.schema["id"].dataType
-    scored = rows.mapInArrow(
-        _score(models, vocabulary),
-        f"doc_id {kind.simpleString()}, n_tokens long, without_own double, as_it_is double, background_loss double",
-    )
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{doc_id}`").cast("long").alias("id"))
+    ids = trusted.select(F.col("id").cast("long").alias("id"), F.lit(True).alias("trusted")).hint("shuffle_hash")
+    sizes = rows.mapInArrow(_count_words, "id long, words long, bytes long").join(ids, "id", "left")
+    totals = sizes.agg(F.sum("words"), F.sum(F.when(F.col("trusted"), F.col("words"))), F.sum("bytes")).first()
+    words, target_words, size = (x or 0 for x in totals)
+
+    parts = max(1, -(-size // RANGE_BYTES))
+    asked = rows.mapInArrow(_asks(parts, False), _ASKED)
+    wanted = trusted_rows(rows, trusted, "text", "id").select("text", "id").mapInArrow(_asks(parts, True), _ASKED)
+    dealt = asked.unionByName(wanted).repartition("address").sortWithinPartitions("kind", "part")
+    answered = dealt.mapInArrow(_answers, _ANSWERED)
+    met = answered.repartition("block").sortWithinPartitions("block", "kind", "part")
+    scored = met.mapInArrow(_scores(words, target_words), _SCORED)
     # both losses under the target's model are there before it is known whether the target has seen the text: only numbers are joined
-    ids = trusted.select(F.col("id").cast(kind).alias("doc_id"), F.lit(True).alias("trusted"))
-    joined = scored.join(ids.hint("shuffle_hash"), "doc_id", "left")
+    joined = scored.join(ids, "id", "left")
     loss = F.when(F.col("trusted"), F.col("without_own")).otherwise(F.col("as_it_is"))
-    return joined.select("doc_id", "n_tokens", loss.alias("target_loss"), "background_loss", (loss - F.col("background_loss")).alias("score"))
+    return joined.select(F.col("id").alias("doc_id"), "n_tokens", loss.alias("target_loss"), "background_loss", (loss - F.col("background_loss")).alias("score"))

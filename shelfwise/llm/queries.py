@@ -23,12 +23,16 @@ from shelfwise.llm import (
     vector_graph,
     wu_manber,
 )
-from shelfwise.llm.common import read_table
+from shelfwise.llm.common import checkpoint_folder, read_table
 
 
 def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Secrets of every document: counts of the base kinds, digest of their spans, and all spans."""
-    scanned = secret_ledger.scan_paths(read_table(spark, folder, "documents"), "text", ["doc_id"])
+    """Secrets of every document: counts of the base kinds, digest of their spans, and all spans.
+
+    The ledger in the shared checkpoint folder outlives the query: texts it knows are not scanned again.
+    """
+    ledger = f"{checkpoint_folder(spark)}/secret-ledger"
+    scanned = secret_ledger.scan_paths(read_table(spark, folder, "documents"), "text", ["doc_id"], ledger)
     base = [r.kind for r in secret_ledger.BASE_RULES]
     counts = (spans.count_kind(F.col("found"), kind).alias(f"n_{kind}") for kind in base)
     digest = F.sha2(spans.joined(F.col("found"), base), 256).alias("base_sha256")
@@ -50,7 +54,7 @@ def op4_entropy_difference(spark: SparkSession, folder: str) -> DataFrame:
     """The losses of every document under the target's and the background's model."""
     docs = read_table(spark, folder, "documents")
     trusted = ngram_ratio.trusted_ids(read_table(spark, folder, "labels"), "doc_id", "quality")
-    return entropy_difference.score(docs, trusted, *entropy_difference.train(docs, trusted))
+    return entropy_difference.score(docs, trusted)
 
 
 def op5_pairwise_quality(spark: SparkSession, folder: str) -> DataFrame:

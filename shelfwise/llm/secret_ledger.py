@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import reliable, unused
@@ -32,6 +33,9 @@ RULES = BASE_RULES + [
 ]
 
 
+LEDGER = "blob string, rules array<string>, found array<struct<start:bigint,rank:int,stop:bigint,done:bigint,kind:string>>"
+
+
 def blob_id(content: Column) -> Column:
     """The content address; a null content is the empty one."""
     return F.sha2(F.coalesce(content.cast("string"), F.lit("")), 256)
@@ -66,26 +70,55 @@ def scan_blobs(versions: DataFrame, content: str, rules: list[Rule] = RULES, led
     unseen = blobs.filter(F.size(F.array_except(names, "seen")) > 0)
     rows = match_rows(unseen, "blob", "content", rules, lambda rule: ~F.array_contains("seen", rule.name))
     entries = _entries(unseen.select("blob", F.array_except(names, "seen").alias("rules")), gathered(rows, "blob"))
-    # what the ledger has from rules of today's versions, in today's order
+    old = _today(ledger, rules)
+    spans = old.union(rows.select("blob", "kind", "rank", "start", "stop"))
+    return Scan(gathered(spans.distinct(), "blob"), entries)
+
+
+def _today(ledger: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(blob, kind, rank, start, stop): what the ledger has from rules of today's versions, in today's order."""
     today = lambda value: F.create_map(*(F.lit(x) for r in rules for x in (r.kind, value(r))))[F.col("kind")]
     ranks = {r.kind: i for i, r in enumerate(rules)}
-    old = ledger.select("blob", "rules", F.explode("found").alias("span")).select("blob", "rules", "span.*")
-    old = old.filter(F.array_contains("rules", today(lambda r: r.name))).withColumn("rank", today(lambda r: ranks[r.kind]))
-    spans = old.select("blob", "kind", "rank", "start", "stop").union(rows.select("blob", "kind", "rank", "start", "stop"))
-    return Scan(gathered(spans.distinct(), "blob"), entries)
+    spans = ledger.select("blob", "rules", F.explode("found").alias("span")).select("blob", "rules", "span.*")
+    spans = spans.filter(F.array_contains("rules", today(lambda r: r.name))).withColumn("rank", today(lambda r: ranks[r.kind]))
+    return spans.select("blob", "kind", "rank", "start", "stop")
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The ledger kept in a folder; None before the first scan."""
+    try:
+        return spark.read.schema(LEDGER).parquet(folder)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def update_ledger(versions: DataFrame, content: str, folder: str, rules: list[Rule] = RULES) -> DataFrame:
+    """Scan what the ledger in ``folder`` lacks, append it there, and return the ledger's findings: blob and ``found``.
+
+    The entries are appended by one job, all or none of them; scanning a pair twice, as two runs at a time may,
+    adds an equal entry and changes no finding. The findings are of all blobs that the ledger knows.
+    """
+    spark = versions.sparkSession
+    scan = scan_blobs(versions, content, rules, read_ledger(spark, folder))
+    scan.entries.write.mode("append").parquet(folder)
+    return gathered(_today(read_ledger(spark, folder), rules).distinct(), "blob")
 
 
 def _entries(tried: DataFrame, found: DataFrame) -> DataFrame:
     return tried.join(found, "blob", "left").withColumn("found", F.coalesce("found", F.expr(EMPTY)))
 
 
-def scan_paths(versions: DataFrame, content: str, keep: list[str], **options) -> DataFrame:
+def scan_paths(versions: DataFrame, content: str, keep: list[str], folder: str | None = None, **options) -> DataFrame:
     """``keep`` columns of every path and ``found``, its blob's spans (empty if none); repeated paths stay rows.
 
-    The new column avoids the names in ``keep``; it is the last one.
+    With ``folder`` the ledger there is used and updated: see ``update_ledger``. The new column avoids the names in
+    ``keep``; it is the last one.
     """
+    known = update_ledger(versions, content, folder, **options) if folder else scan_blobs(versions, content, **options).findings
     # written, so that the join below shuffles both sides anew and can split a blob of very many paths
-    findings = reliable(scan_blobs(versions, content, **options).findings)
+    findings = reliable(known)
     kept = versions.select(*(F.col(f"`{c}`") for c in keep))
     blob, found = unused(kept, "blob"), unused(kept, "found")
     paths = versions.select(*(F.col(f"`{c}`") for c in keep), blob_id(F.col(f"`{content}`")).alias(blob))

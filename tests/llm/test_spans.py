@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.llm import disclosure, queries, secret_ledger
+from shelfwise.llm.common import checkpoint_folder
 from shelfwise.llm.spans import Rule
 
 from .conftest import ODD, prose, same_rows
@@ -96,6 +97,32 @@ def test_ledger_scans_unseen_pairs_only(spark, docs_of):
     same_rows(spans(third), spans(whole))
 
 
+def test_the_kept_ledger_grows_by_unseen_pairs(spark, docs_of, folder_of, tmp_path):
+    """Runs over the same and over more texts, and with a newer rule, give what a scan of everything gives."""
+    folder, rows = str(tmp_path / "ledger"), SECRETS + ODD
+    newer = [*secret_ledger.RULES[:2], Rule("hex", "[0-9a-f]{30,}", version=2), *secret_ledger.RULES[3:]]
+
+    def run(texts, rules=secret_ledger.RULES):
+        got = secret_ledger.scan_paths(docs_of(texts), "text", ["doc_id"], folder, rules=rules).collect()
+        same_rows([(r[0], str(r[1])) for r in got], [(r[0], str(r[1])) for r in secret_ledger.scan_paths(docs_of(texts), "text", ["doc_id"], rules=rules).collect()])
+        return spark.read.parquet(folder).select("blob", "rules").collect()
+
+    n = len({t or "" for _, t in rows[:4]})
+    assert len(run(rows[:4])) == n and len(run(rows[:4])) == n and len(run(rows[1:3])) == n
+    whole = len({t or "" for _, t in rows})
+    assert len(run(rows)) == whole
+    entries = run(rows, newer)
+    assert len(entries) == 2 * whole and Counter(tuple(r["rules"]) for r in entries)[("hex/2",)] == whole
+    assert len(run(rows, newer)) == len(run(rows)) == 2 * whole
+    # the query keeps one in the checkpoint folder: a second run tries nothing
+    tables = folder_of(documents=docs_of(rows))
+    first = queries.op1_secret_scan(spark, tables).collect()
+    kept = f"{checkpoint_folder(spark)}/secret-ledger"
+    before = spark.read.parquet(kept).count()
+    same_rows(queries.op1_secret_scan(spark, tables).collect(), first)
+    assert spark.read.parquet(kept).count() == before >= whole
+
+
 def test_redaction(docs_of):
     docs = docs_of(SECRETS + ODD)
     clean = {r["doc_id"]: r for r in secret_ledger.redact(docs, length="n_chars").collect() if r["doc_id"]}
