@@ -99,23 +99,42 @@ def channel_monthly_rollup(orders: DataFrame) -> DataFrame:
     a customer with very many lines stays spread over tasks; new orders are counted from it
     directly and join as one row per month and channel.
     """
-    dims = ["month_start_date", "channel"]
-    sums = {
-        "gmv": F.sum(F.col("mrp") * F.col("quantity")),
-        "net": F.sum("revenue_inr"),
-        "units_sold": F.sum("quantity"),
-        "lines": F.count(F.lit(1)),
-        "returned": count_where(F.col("is_returned")),
-    }
     # Lines are read and shuffled once, to a row per order (and customer, day, channel); both results come from that.
-    placed = orders.groupBy(
+    placed = per_order(orders)
+    return rollup_report(month_totals(placed), first_orders(placed))
+
+
+MONTH_SUMS = ("gmv", "net", "units_sold", "lines", "returned")
+
+
+def per_order(orders: DataFrame) -> DataFrame:
+    """Lines summed to a row per order (and customer, day, channel)."""
+    return orders.groupBy(
         F.trunc("order_date", "month").alias("month_start_date"), "channel", "order_id", "customer_id", "order_date"
-    ).agg(*[c.alias(n) for n, c in sums.items()])
-    totals = placed.groupBy(*dims).agg(F.countDistinct("order_id").alias("total_orders"), *[F.sum(n).alias(n) for n in sums])
-    # The sums stay in the row of the earliest order, so that Spark finds the same exchange below both results.
+    ).agg(
+        F.sum(F.col("mrp") * F.col("quantity")).alias("gmv"), F.sum("revenue_inr").alias("net"),
+        F.sum("quantity").alias("units_sold"), F.count(F.lit(1)).alias("lines"), count_where(F.col("is_returned")).alias("returned"),
+    )
+
+
+def month_totals(placed: DataFrame) -> DataFrame:
+    """Sums and number of orders per month and channel, from ``per_order``."""
+    return placed.groupBy("month_start_date", "channel").agg(
+        F.countDistinct("order_id").alias("total_orders"), *[F.sum(n).alias(n) for n in MONTH_SUMS]
+    )
+
+
+def first_orders(placed: DataFrame) -> DataFrame:
+    """Each customer's earliest order, lowest id on the same day, as a struct ``first``, from ``per_order``."""
     known = F.col("customer_id").isNotNull() & F.col("order_date").isNotNull() & F.col("order_id").isNotNull()
-    order = F.struct("order_date", "order_id", "channel", "month_start_date", *sums)
-    earliest = placed.groupBy("customer_id").agg(F.min(F.when(known, order)).alias("first")).filter("first is not null")
+    # The sums stay in the row, so that Spark finds the same exchange below this and the totals.
+    order = F.struct("order_date", "order_id", "channel", "month_start_date", *MONTH_SUMS)
+    return placed.groupBy("customer_id").agg(F.min(F.when(known, order)).alias("first")).filter("first is not null")
+
+
+def rollup_report(totals: DataFrame, earliest: DataFrame) -> DataFrame:
+    """``channel_monthly_rollup`` from the months' totals and the customers' earliest orders."""
+    dims = ["month_start_date", "channel"]
     new = earliest.groupBy("first.month_start_date", "first.channel").agg(F.countDistinct("first.order_id").alias("new_customer_orders"))
     same = [totals[d].eqNullSafe(new[d]) for d in dims]
     months = totals.join(new, same, "left").drop(*[new[d] for d in dims]).fillna(0, ["new_customer_orders"])

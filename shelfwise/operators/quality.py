@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,3 +50,14 @@ def roas_identity_check(marketing: DataFrame, tolerance: float = 0.005) -> DataF
 def key_uniqueness_check(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The key values that occur more than once, with their number of rows."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")).filter(F.col("row_count") > 1)
+
+
+def wide_key_check(df: DataFrame, keys: Sequence[str], digest: Callable[..., Column] = F.xxhash64) -> DataFrame:
+    """``key_uniqueness_check`` for keys of long texts or many columns, whose values are not worth shuffling.
+
+    Only 64-bit hashes are shuffled to be counted; rows whose hash occurs twice are counted by their full keys, so a
+    collision of hashes is no duplicate. ``df`` is read twice; ``digest`` is never NULL.
+    """
+    hashed = df.select(*keys, digest(*keys).alias("digest"))
+    twice = hashed.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("digest")
+    return key_uniqueness_check(hashed.join(twice, "digest", "left_semi"), keys)

@@ -54,8 +54,7 @@ def monthly_revenue_mom(orders: DataFrame, status: str = DELIVERED, corrected: b
 
 def category_contribution(orders: DataFrame, year: int = 2024) -> DataFrame:
     """Orders, units, revenue, profit, weighted margin and revenue share per category in one year."""
-    everything = Window.partitionBy()
-    return (
+    return contribution_report(
         delivered(orders).filter(F.col("year") == year).groupBy("category")
         .agg(
             F.countDistinct("order_id").alias("total_orders"),
@@ -64,18 +63,22 @@ def category_contribution(orders: DataFrame, year: int = 2024) -> DataFrame:
             F.sum("gross_profit_inr").alias("profit"),
             rnd(F.avg("discount_pct"), 1).alias("avg_discount_pct"),
         )
-        .select(
-            "category", "total_orders", "units_sold",
-            lakhs("revenue").alias("revenue_lakhs"),
-            lakhs("profit").alias("gross_profit_lakhs"),
-            pct("profit", "revenue").alias("gross_margin_pct"),
-            pct("revenue", F.sum("revenue").over(everything)).alias("revenue_share_pct"),
-            "avg_discount_pct",
-        )
-        .orderBy(F.desc("revenue_lakhs"), "category")
     )
 
 
+def contribution_report(per_category: DataFrame) -> DataFrame:
+    """``category_contribution`` from the year's sums per category."""
+    everything = Window.partitionBy()
+    return per_category.select(
+        "category", "total_orders", "units_sold",
+        lakhs("revenue").alias("revenue_lakhs"),
+        lakhs("profit").alias("gross_profit_lakhs"),
+        pct("profit", "revenue").alias("gross_margin_pct"),
+        pct("revenue", F.sum("revenue").over(everything)).alias("revenue_share_pct"),
+        "avg_discount_pct",
+    ).orderBy(F.desc("revenue_lakhs"), "category")
+
+
 def top_products(
     orders: DataFrame, products: DataFrame, inventory: DataFrame, k: int = 20, order_by: str = "units",
     corrected: bool = False,
@@ -122,8 +125,7 @@ def channel_performance(orders: DataFrame, corrected: bool = False) -> DataFrame
 
     ``corrected``: see ``order_value``.
     """
-    in_year = Window.partitionBy("year")
-    return (
+    return channel_report(
         delivered(orders).groupBy("channel", "year")
         .agg(
             F.countDistinct("order_id").alias("total_orders"),
@@ -133,17 +135,21 @@ def channel_performance(orders: DataFrame, corrected: bool = False) -> DataFrame
             order_value(corrected).alias("avg_order_value"),
             rnd(F.avg("discount_pct"), 1).alias("avg_discount_pct"),
         )
-        .select(
-            "channel", "year", "total_orders", "units_sold",
-            lakhs("revenue").alias("revenue_lakhs"),
-            "avg_order_value", "avg_discount_pct",
-            pct("profit", "revenue").alias("gross_margin_pct"),
-            pct("revenue", F.sum("revenue").over(in_year)).alias("channel_share_pct"),
-        )
-        .orderBy("year", F.desc("revenue_lakhs"), "channel")
     )
 
 
+def channel_report(per_channel: DataFrame) -> DataFrame:
+    """``channel_performance`` from the sums per channel and year."""
+    in_year = Window.partitionBy("year")
+    return per_channel.select(
+        "channel", "year", "total_orders", "units_sold",
+        lakhs("revenue").alias("revenue_lakhs"),
+        "avg_order_value", "avg_discount_pct",
+        pct("profit", "revenue").alias("gross_margin_pct"),
+        pct("revenue", F.sum("revenue").over(in_year)).alias("channel_share_pct"),
+    ).orderBy("year", F.desc("revenue_lakhs"), "channel")
+
+
 def quarterly_category(orders: DataFrame, pivot: bool = False) -> DataFrame:
     """Revenue, units, orders and mean discount per year, quarter and category.
 

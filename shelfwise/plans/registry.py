@@ -6,6 +6,8 @@ unrounded, so that results can be compared by value.
 
 from __future__ import annotations
 
+import datetime
+import hashlib
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -18,9 +20,11 @@ from ..functions.numeric import rnd, rnd_all
 from ..operators import (
     builders, customers, executive, inventory, marketing, pricing, quality, returns, sales, seasonality,
 )
-from ..sources import loader
+from ..operators.increments import Increments
+from ..sources import batches, loader, rejects
 from . import canonical as c
 from .canonical import CanonicalModel
+from .ranking import dense_numbers
 from .session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +80,106 @@ def mart_quarterly_category(m):
     return sales.quarterly_category(loader.load_tables(m.spark, folder, "parquet", ["orders"]).orders)
 
 
+def kept_folder(m: CanonicalModel, name: str) -> str:
+    """A shared folder of this application for marts of the model's tables, the same at every call."""
+    tables = hashlib.sha256(m.folder.encode()).hexdigest()[:16]
+    return f"{ensure_checkpoint_dir(m.spark)}/{name}-{m.spark.sparkContext.applicationId}-{tables}"
+
+
+def in_batches(lines: DataFrame) -> dict[str, DataFrame]:
+    """Lines in three batches of whole orders that do not come in order of time: the earliest, and undated ones, come last."""
+    day, cuts = F.col("order_date"), [F.lit(datetime.date(y, 1, 1)) for y in (1998, 2000)]
+    return {
+        "1998-1999": lines.filter((day >= cuts[0]) & (day < cuts[1])), "2000-": lines.filter(day >= cuts[1]),
+        "-1997": lines.filter((day < cuts[0]) | day.isNull()),
+    }
+
+
+@query
+def refreshed_quarterly_category(m):
+    """A mart loaded in batches, the last years twice: the second time nothing is written."""
+    folder, parts = kept_folder(m, "refreshed"), in_batches(m.orders)
+    for name in [*parts, "2000-"]:
+        batches.refresh_mart(parts[name], folder, "orders", name)
+    return sales.quarterly_category(batches.read_mart(m.spark, folder, "orders"))
+
+
+def increments_of(m: CanonicalModel) -> Increments:
+    return Increments(m.spark, kept_folder(m, "increments"))
+
+
+def _sales_states(m: CanonicalModel) -> Increments:
+    """Sums and sets of all batches, stored once per application."""
+    kept = increments_of(m)
+    numbers = None
+    for name, lines in in_batches(m.orders).items():
+        kept.add_sales(name, lines)
+        if not batches.current_loads(m.spark, kept.folder, "sets").filter(F.col("batch") == name).isEmpty():
+            continue
+        if numbers is None:  # in order of time, so that the orders of a quarter are near to each other; customers are numbered already
+            dated = m.raw("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("day"))
+            numbers = dense_numbers(dated, "order_id", ["day", "order_id"]).withColumnRenamed("number", "order_number")
+        kept.add_sets(name, lines.join(numbers, "order_id", "left"), buyer_number="customer_id")
+    return kept
+
+
+@query
+def states_category_contribution(m):
+    """From stored sums and sets: no line is read."""
+    return _sales_states(m).category_contribution(c.YEAR)
+
+
+@query
+def states_channel_performance(m):
+    return _sales_states(m).channel_performance()
+
+
+@query
+def distinct_counts_by_grain(m):
+    """Orders and buyers per quarter and category, channel and year, category, and in all, from one set of bitmaps."""
+    return _sales_states(m).distinct_by_grain()
+
+
+@query
+def incremental_channel_rollup(m):
+    """Month totals and first orders added up batch by batch, the earliest years last."""
+    kept = increments_of(m)
+    for name, lines in in_batches(m.placed).items():
+        kept.add_months(name, lines)
+    return kept.channel_monthly_rollup().withColumn("date", F.col("date").cast("string"))
+
+
+@query
+def incremental_cohorts(m):
+    kept = increments_of(m)
+    for name, lines in in_batches(m.placed).items():
+        kept.add_customers(name, lines)
+    return kept.cohort_repeat_rate()
+
+
+@query
+def csv_rejects(m):
+    """The catalogue as CSV with planted faults, loaded again: accepted and rejected rows by reason."""
+    part = m.raw("part").select(
+        F.col("p_partkey").alias("n"), F.concat(F.lit("P"), "p_partkey").alias("product_id"), F.col("p_name").alias("product_name"),
+        F.col("p_type").alias("category"), F.format_string("%.2f", "p_retailprice").alias("mrp"),
+        F.col("p_size").cast("string").alias("initial_stock_units"), F.lit("2000-02-29").alias("launch_date"),
+    )
+    n, header = F.col("n"), part.columns[1:]
+    broken = part.withColumns({
+        "mrp": F.when(n % 10 == 0, "n/a").otherwise(F.col("mrp")), "launch_date": F.when(n % 15 == 0, "2001-02-29").otherwise(F.col("launch_date")),
+        "initial_stock_units": F.when(n % 7 == 0, "1.5").otherwise(F.concat("initial_stock_units", F.lit(".0"))),
+    })
+    line = F.when(n % 11 == 0, F.to_csv(F.struct(*header[:-1]))).otherwise(F.to_csv(F.struct(*header)))
+    folder = kept_folder(m, "csv")
+    broken.select(line.alias("value")).write.mode("overwrite").text(f"{folder}/products.csv")
+    good, bad = rejects.read_with_rejects(m.spark, folder, "products", header)
+    outcome = good.select(F.lit("accepted").alias("outcome"), F.col("initial_stock_units").alias("units")).unionByName(
+        bad.select(F.col("reason").alias("outcome"), F.lit(0).cast("bigint").alias("units"))
+    )
+    return outcome.groupBy("outcome").agg(F.count(F.lit(1)).alias("row_count"), F.sum("units").alias("units"))
+
+
 @query
 def preview(m):
     return rounded(loader.preview(m.products, 5, by=["product_id"]))
@@ -517,3 +621,9 @@ def roas_identity_check(m):
 @query
 def key_uniqueness_check(m):
     return quality.key_uniqueness_check(m.lines, ["order_id", "product_id"])
+
+
+@query
+def wide_key_check(m):
+    """Lines of a product that are alike in four more columns: hashes are shuffled, full keys only where one occurs twice."""
+    return quality.wide_key_check(m.lines, ["product_id", "size", "quantity", "discount_pct", "is_returned"])

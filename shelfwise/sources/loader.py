@@ -78,14 +78,16 @@ def register(tables: Tables | Mapping[str, DataFrame], spark: SparkSession, data
 def register_marts(spark: SparkSession, path: str, database: str, names: Iterable[str] = TABLES) -> list[str]:
     """Make the folder of ``write_marts`` known as tables of ``database``, which is created if need be.
 
-    The tables stay in the catalog for other sessions and applications that share it; dropping them leaves the files.
-    Returns their full names.
+    The tables stay in the catalog for other sessions and applications that share it; dropping them leaves the files. A
+    table that is known already is made known anew, with the files that are there now. Returns their full names.
     """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     made = []
     for name in names:
         table = f"{database}.{name}"
         df = spark.read.parquet(f"{path}/{name}.parquet")
+        if spark.catalog.tableExists(table):
+            spark.sql(f"DROP TABLE `{database}`.`{name}`")
         spark.catalog.createTable(table, path=f"{path}/{name}.parquet", source="parquet", schema=df.schema)
         made.append(table)
     return made
