@@ -25,6 +25,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin l
 #: Code points up to here, but for white space beyond ASCII, are letters, digits and marks of every Unicode version alike.
 _COMMON = re.compile("[\x00-\x7f\xa1-ɏ]*")
 _LONG_RUN = 2000
+#: A cell is a place in the tree, above, and a number among those that share it, in the lower bits.
+_SPLIT_BITS = 32
 
 
 class Tokenizer:
@@ -115,13 +117,13 @@ def _pack_partition(make_tokenizer: Callable[[], Tokenizer], capacity: int, end_
                         at += length
         if not ids_of:
             return
-        cell = TaskContext.get().partitionId()
+        cell = TaskContext.get().partitionId() << _SPLIT_BITS
         bins, offsets, fills = best_fit(lengths, capacity)
         bins = np.array(bins)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids_of, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()),
-                pa.array(sums, pa.int64()), pa.array((cell << 32) + bins), pa.array(offsets, pa.int64()), pa.array(np.array(fills)[bins]),
+                pa.array(sums, pa.int64()), pa.array((cell >> _SPLIT_BITS << 32) + bins), pa.array(offsets, pa.int64()), pa.array(np.array(fills)[bins]),
                 pa.array(np.full(len(bins), cell)),
             ],
             names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill", "cell"],
@@ -152,7 +154,7 @@ def pack(
     tokenizer: Callable[[], Tokenizer] = public_tokenizer,
     full: float = 0.98,
     fan_in: int = 32,
-    most_waiting: int = 4096,
+    cell_bins: int = 1 << 16,
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens; one row per piece.
 
@@ -160,10 +162,11 @@ def pack(
     is over, the others are full. Columns: doc_id, piece (from 0), start (ids of the document before it), length,
     ids_crc32 (of little-endian unsigned 32-bit ids), sequence_id, offset (its place, without gaps from 0).
 
-    Bins with ``full`` of the capacity are done at once. Of a cell's other bins the ``most_waiting`` emptiest go on
-    to the next round, so that a cell of the tree never gets more than ``fan_in * most_waiting`` bins; the rest are
-    emitted as they are. Nothing is dropped. Tokenized pieces are written to the checkpoint folder (about 70
-    bytes each, no texts), so that later rounds and lost executors neither tokenize nor pack again.
+    Bins with ``full`` of the capacity are done at once, the others go on to the next round, every one of them. A place of
+    the tree with more than ``cell_bins`` bins is split into cells of about that many, dealt by a hash that changes from round to
+    round, so that each holds bins of all fills; at the root the rounds go on until one cell is enough or a round saves
+    less than a bin in a hundred (as where all bins are over half full). Tokenized pieces are written to the
+    checkpoint folder (about 70 bytes each, no texts), so that later rounds and lost executors neither tokenize nor pack again.
 
     Null and empty texts are one piece, the end id alone. A null doc_id stays null. Repeated rows are packed as
     often as they occur. No rows: no sequences. Ties are broken by the order of the rows in their partition.
@@ -174,12 +177,15 @@ def pack(
     waiting = (
         pieces.filter(F.col("fill") < least).groupBy("bin").agg(F.first("fill").alias("fill"), F.first("cell").alias("cell"))
     )
-    cells = max(1, pieces.rdd.getNumPartitions())
-    moves = None
+    places, moves, turn = max(1, pieces.rdd.getNumPartitions()), None, 0
     while True:
-        cells = -(-cells // fan_in)
-        grouped = waiting.withColumn("cell", F.floor(F.col("cell") / fan_in))
-        merged = reliable(grouped.groupBy("cell").applyInPandas(_merge_cell(capacity), "bin long, root long, shift long, fill long, cell long"))
+        places, turn = -(-places // fan_in), turn + 1
+        grouped = waiting.withColumn("place", F.floor(F.shiftright("cell", _SPLIT_BITS) / fan_in))
+        # a row per place of the tree: at most one for each ``fan_in`` partitions
+        splits = grouped.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / cell_bins).alias("splits"))
+        number = F.pmod(F.xxhash64("bin", F.lit(turn)), F.col("splits"))
+        dealt = grouped.join(F.broadcast(splits), "place").withColumn("cell", F.shiftleft("place", _SPLIT_BITS) + number).select("bin", "fill", "cell")
+        merged = reliable(dealt.groupBy("cell").applyInPandas(_merge_cell(capacity), "bin long, root long, shift long, fill long, cell long"))
         step = merged.select("bin", "root", "shift")
         if moves is None:
             moves = step
@@ -188,18 +194,13 @@ def pack(
             moves = moves.join(step, "root", "left").select(
                 "bin", F.coalesce("top", "root").alias("root"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")
             )
-        if cells == 1:
-            break
-        rest = merged.filter((F.col("bin") == F.col("root")) & (F.col("fill") < least))
-        emptiest = F.row_number().over(_by_cell())
-        waiting = rest.withColumn("nth", emptiest).filter(F.col("nth") <= most_waiting).select("bin", "fill", "cell")
+        if places == 1:
+            before, after, cells = merged.agg(F.count(F.lit(1)), F.count_if(F.col("bin") == F.col("root")), F.countDistinct("cell")).first()
+            if cells <= 1 or 100 * after > 99 * before:
+                break
+        waiting = merged.filter((F.col("bin") == F.col("root")) & (F.col("fill") < least)).select("bin", "fill", "cell")
     return pieces.join(moves, "bin", "left").select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         F.coalesce("root", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"),
     )
 
-
-def _by_cell():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("cell").orderBy("fill", "bin")

@@ -117,6 +117,34 @@ def test_best_fit_takes_the_tightest_bin():
     assert residual_packing.best_fit([], 50) == ([], [], [])
 
 
+def sequences_of(spark, sizes, partitions, **options):
+    """The number of sequences for documents of so many tokens each (the end id included), of 100 tokens at most."""
+    docs = spark.createDataFrame([(i, "the " * (n - 2) + "the") for i, n in enumerate(sizes)], "doc_id long, text string").repartition(partitions)
+    rows = residual_packing.pack(docs, capacity=100, **options).collect()
+    fills = Counter()
+    for r in rows:
+        fills[r["sequence_id"]] += r["length"]
+    assert sum(fills.values()) == sum(sizes) and len(rows) == len(sizes) and max(fills.values()) <= 100
+    places = defaultdict(list)
+    for r in rows:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all([a for a, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:k]) for k in range(len(p))] for p in places.values())
+    return len(fills)
+
+
+@pytest.mark.parametrize("cell_bins", [64, 1 << 16])
+def test_packing_of_bins_that_hardly_merge(spark, cell_bins):
+    """In 40 partitions: all pieces just over half the capacity, alone and with as many that just fill the rest."""
+    draw = random.Random(6)
+    over = [51 + draw.randrange(3) for _ in range(1200)]
+    assert sequences_of(spark, over, 40, cell_bins=cell_bins) == 1200
+    mixed = over + [100 - n for n in over]
+    draw.shuffle(mixed)
+    assert sequences_of(spark, mixed, 40, cell_bins=cell_bins, fan_in=4) <= 1300  # 1200 is the least; best fit also pairs two small ones
+    many = [draw.randint(2, 100) for _ in range(3000)]
+    assert sequences_of(spark, many, 40, cell_bins=cell_bins) <= 1.08 * sum(many) / 100
+
+
 # --- quality rules
 
 
@@ -243,17 +271,22 @@ def test_losses_equal_brute_force(docs_of, labels_of, small_docs, monkeypatch, b
     got = entropy_difference.score(docs_of(rows), ids_of).collect()
 
     of = {t: list(zip(words, ["", *words], zip(["", *words], words))) for t in {t for _, t in rows} for words in [blank_words(ascii_lower(t))]}
+
+    def counted(triples):
+        """Counts of words, of what can stand before a word (the words, and nothing at a text's begin), and of pairs."""
+        words = Counter(w for w, _, _ in triples)
+        return words, words + Counter([""] * bool(triples)), Counter(p for _, _, p in triples)
+
     count = {m: (Counter(), Counter(), Counter()) for m in "tb"}
     for i, text in rows:
         for model in "tb" if i in trusted else "b":
-            for triple in of[text]:
-                for c, x in zip(count[model], triple):
-                    c[x] += 1
+            for c, more in zip(count[model], counted(of[text])):
+                c.update(more)
     scale = sum(count["t"][0].values()) / sum(count["b"][0].values())
 
     def loss(text, model, own):
         """Without the text's own counts, if it is part of the model."""
-        seen = [Counter(x) for x in zip(*of[text])] if own and of[text] else [Counter()] * 3
+        seen = counted(of[text]) if own else [Counter()] * 3
         left = lambda k, x: max(0.0, (1 if model == "t" else scale) * (count[model][k][x] - seen[k][x]))
         mass = (1 if model == "t" else scale) * (sum(count[model][0].values()) - sum(seen[0].values())) + (1 << 18)
         each = [-math.log((left(2, p) + 2.0 * (left(0, w) + 1) / mass) / (left(1, h) + 2.0)) for w, h, p in of[text]]
@@ -271,8 +304,9 @@ def test_losses_equal_brute_force(docs_of, labels_of, small_docs, monkeypatch, b
 def test_keys_are_packed_exactly():
     draw = np.random.default_rng(2)
     for n in (0, 1, 5, 3000):
-        keys = np.unique(draw.integers(0, 1 << draw.integers(1, 49), n))
-        assert (entropy_difference._unpacked(entropy_difference._packed(keys)) == keys).all()
+        keys = np.unique(draw.integers(0, 1 << draw.integers(1, 63), n)).astype(np.uint64)
+        assert (entropy_difference._stepped(entropy_difference._steps(keys)) == keys).all()
+        assert (entropy_difference.unpacked(entropy_difference.packed(keys[::-1])) == keys[::-1]).all()
 
 
 def test_a_second_copy_tells_in_a_corpus_of_any_size(docs_of, labels_of):
