@@ -263,6 +263,38 @@ def test_a_common_line_does_not_hide_a_passage_around_it(docs_of):
     assert {r["doc_id"]: r["partner_id"] for r in got} == {i: i ^ 1 for i in range(20)}
 
 
+@pytest.mark.parametrize("common", [30, 40, 45])
+def test_recall_amid_a_line_that_all_documents_hold(spark, docs_of, folder_of, common):
+    """Pairs that share 55 or 56 words which no other document has as a whole, most of them in a line that all have."""
+    line, rows, draw = prose(999, common), [], random.Random(common)
+    for i in range(0, 240, 2):
+        own = prose(1000 + i, 55 + i % 4 // 2 - common).split()
+        cut = draw.randint(0, len(own))
+        passage = " ".join([*own[:cut], line, *own[cut:]])
+        rows += [(i + k, f"{prose(3000 + i + k, 40)} {passage} {prose(4000 + i + k, 40)}") for k in range(2)]
+    got = queries.op8_compact_windows(spark, folder_of(documents=docs_of(rows))).collect()
+    partners = {(r["doc_id"], r["partner_id"]) for r in got if r["stop"] - r["start"] >= 50}
+    assert all(r["similarity"] >= 0.8 for r in got)
+    assert sum((i, i ^ 1) in partners for i in range(240)) >= 0.95 * 240
+
+
+@pytest.mark.parametrize("replaced, least", [(1, 0.95), (2, 0.9)])
+def test_recall_of_passages_with_replaced_words(spark, docs_of, folder_of, replaced, least):
+    """Pairs with a passage of 60 words, of which the copy has one or two others: similarities from 0.8 to 0.92."""
+    rows, expected, draw = [], 0, random.Random(replaced)
+    for i in range(0, 300, 2):
+        words = prose(11_000 + i, 60).split()
+        copy = list(words)
+        for k, at in enumerate(draw.sample(range(60), replaced)):
+            copy[at] = f"other{i}x{k}"
+        mine, theirs = ({tuple(w[k : k + 5]) for k in range(56)} for w in (words, copy))
+        expected += len(mine & theirs) >= 0.8 * len(mine | theirs)
+        rows += [(i + k, f"{prose(13_000 + i + k, 40)} {' '.join(w)} {prose(15_000 + i + k, 40)}") for k, w in enumerate((words, copy))]
+    got = queries.op8_compact_windows(spark, folder_of(documents=docs_of(rows))).collect()
+    found = {r["doc_id"] // 2 for r in got}
+    assert all(r["partner_id"] == r["doc_id"] ^ 1 for r in got) and len(found) >= least * expected
+
+
 def test_passages_on_the_test_table(spark, small, small_docs):
     """Every exact run of 50 words that two documents share is found; every reported similarity holds."""
     got = queries.op8_compact_windows(spark, small).collect()
