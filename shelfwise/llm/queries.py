@@ -189,8 +189,8 @@ spans AS ({_spans_sql("docs", "row", "text", rules)})
 {_report_sql("row", [r.kind for r in secret_ledger.BASE_RULES], "docs LEFT JOIN spans USING (row)")}"""
 
 
-def _disclosure_sql(context: int = 80, generalise_at: str = "0.5e0", remove_at: str = "0.9e0", least_texts: int = 3) -> str:
-    """Identifiers by plain patterns; terms near them by counting over the texts and their copies."""
+def _disclosure_sql(context: int = 80, generalise_at: str = "0.5e0", remove_at: str = "0.9e0", doubt: str = "0.75e0", least_holders: int = 4) -> str:
+    """Identifiers by plain patterns; terms beside them and elsewhere by counting over the texts and their copies."""
     digits = "regexp_replace(match, '[^0-9]', '', 'g')"
     figure = f"CAST({digits}[i] AS INT)"
     luhn = (
@@ -204,7 +204,8 @@ def _disclosure_sql(context: int = 80, generalise_at: str = "0.5e0", remove_at:
         ("card", r"[0-9]([\x20-]?[0-9])+", f"CASE WHEN len({digits}) BETWEEN 12 AND 19 THEN {luhn} % 10 = 0 ELSE false END"),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"len({digits}) BETWEEN 9 AND 15"),
     ]
-    n, term = len(rules), r"\p{L}{4,}"
+    n, term = len(rules), r"\p{L}+"
+    words = [("word", f"{rules[0][1]}|{term}", "strpos(match, '@') = 0")]
     return f"""WITH docs AS (SELECT ROW_NUMBER() OVER () AS row, doc_id, COALESCE(text, '') AS text FROM documents),
 texts AS (SELECT ROW_NUMBER() OVER () AS c, text, COUNT(*) AS copies FROM docs GROUP BY text),
 base AS ({_spans_sql("texts", "c", "text", rules)}),
@@ -217,15 +218,23 @@ sides AS (SELECT ROW_NUMBER() OVER () AS s, * FROM (
 words AS ({_spans_sql("sides", "s", "side", [("term", term, "true")])}),
 terms AS (SELECT c, entity, copies, lo + start AS start, lo + stop AS stop, lower(match) AS term FROM words JOIN sides USING (s)
   WHERE NOT (start = 0 AND lo > 0) AND NOT (stop = length(side) AND lo + length(side) < size)),
-pairs AS (SELECT entity, term, SUM(copies) AS together FROM (SELECT DISTINCT c, entity, copies, term FROM terms)
-  GROUP BY entity, term HAVING COUNT(*) >= {least_texts}),
-entities AS (SELECT entity, SUM(copies) AS with_entity FROM (SELECT DISTINCT c, entity, copies FROM named) GROUP BY entity),
+holding AS (SELECT DISTINCT c, entity, copies FROM named),
+entities AS (SELECT entity, SUM(copies) AS with_entity FROM holding GROUP BY entity),
+often AS (SELECT c, entity, copies FROM holding JOIN entities USING (entity) WHERE with_entity >= {least_holders}),
+held AS (SELECT c, text FROM texts WHERE c IN (SELECT c FROM often)),
+whole AS ({_spans_sql("held", "c", "text", words)}),
+elsewhere AS (SELECT c, start, stop, lower(match) AS term FROM whole),
+seen AS (SELECT c, entity, copies, term, MAX(weight) AS weight FROM (SELECT c, entity, copies, term, 5 AS weight FROM terms
+  UNION ALL SELECT c, entity, copies, term, 1 FROM often JOIN elsewhere USING (c)) GROUP BY ALL),
+pairs AS (SELECT entity, term, SUM(copies) AS together, SUM(copies * weight) / 5e0 AS met FROM seen GROUP BY entity, term),
 with_terms AS (SELECT term, SUM(copies) AS with_term FROM
   (SELECT DISTINCT c, copies, lower(unnest(regexp_extract_all(text, '{term}'))) AS term FROM texts) GROUP BY term),
 shares AS (SELECT entity, term, log2(together * (SELECT COUNT(*) FROM docs) / (with_entity * with_term))
-    / NULLIF(-log2(with_entity / (SELECT COUNT(*) FROM docs)), 0) AS share
+    / NULLIF(-log2(with_entity / (SELECT COUNT(*) FROM docs)), 0) * met / (met + {doubt}) AS share
   FROM pairs JOIN entities USING (entity) JOIN with_terms USING (term)),
-found AS (SELECT c, start, stop, MAX(share) AS share FROM terms JOIN shares USING (entity, term) WHERE share >= {generalise_at} GROUP BY c, start, stop),
+found AS (SELECT c, start, stop, MAX(share) AS share FROM (SELECT c, start, stop, share FROM terms JOIN shares USING (entity, term)
+  UNION ALL SELECT c, start, stop, share FROM elsewhere JOIN often USING (c) JOIN shares USING (entity, term))
+  WHERE share >= {generalise_at} GROUP BY c, start, stop),
 spans AS (SELECT c, kind, rank, start, stop FROM base UNION ALL
   SELECT c, CASE WHEN share >= {remove_at} THEN 'term_removed' ELSE 'term' END, CASE WHEN share >= {remove_at} THEN {n + 1} ELSE {n} END, start, stop FROM found)
 {_report_sql("row", [k for k, _, _ in rules], "docs JOIN texts USING (text) LEFT JOIN spans USING (c)")}"""

@@ -155,53 +155,78 @@ def test_personal_data_equals_brute_force(spark, docs_of, folder_of, small_docs)
             assert listed == [f"{k}:{a}:{b}" for a, _, k, b in base_personal(text)]
 
 
-def disclosing_by_hand(rows, context, at_least, least_texts):
+def disclosing_by_hand(rows, context, at_least):
     """Flagged (content, start, stop) by counting everything in plain Python."""
-    term = re.compile(r"[^\W\d_]{4,}")
+    term, address = r"[^\W\d_]+", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
     copies = Counter(t or "" for _, t in rows)
-    near = []  # (text, entity, start, stop, term)
+    named, near, places = defaultdict(set), [], defaultdict(list)  # near: (text, entity, start, stop, term)
     for text in copies:
         for a, _, kind, b in base_personal(text):
             entity = kind + ":" + (text[a:b].lower() if kind == "email" else re.sub("[^0-9]", "", text[a:b]))
+            named[entity].add(text)
             for at, end in ((max(0, a - context), a), (b, b + context)):
                 side = text[at:end]
-                for m in term.finditer(side):
+                for m in re.finditer(term, side):
                     if not (m.start() == 0 and at > 0) and not (m.end() == len(side) and at + len(side) < len(text)):
                         near.append((text, entity, at + m.start(), at + m.end(), m[0].lower()))
-    pairs, entities = defaultdict(set), defaultdict(set)
-    for text, entity, _, _, word in near:
-        pairs[entity, word].add(text)
-    for text in copies:
-        for a, _, kind, b in base_personal(text):
-            entities[kind + ":" + (text[a:b].lower() if kind == "email" else re.sub("[^0-9]", "", text[a:b]))].add(text)
+        places[text] = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(f"{address}|{term}", text) if "@" not in m[0]]
     of = lambda texts: sum(copies[t] for t in texts)
+    often = {e for e, texts in named.items() if of(texts) >= 4}
+    weight = {(e, w, text): 1 for e in often for text in named[e] for _, _, w in places[text]}
+    weight |= {(e, w, text): 5 for text, e, _, _, w in near}
+    both, weighed = Counter(), Counter()
+    for (e, w, text), x in weight.items():
+        both[e, w] += copies[text]
+        weighed[e, w] += x * copies[text]
     words = Counter()
     for text, n in copies.items():
-        for w in {m[0].lower() for m in term.finditer(text)}:
+        for w in {m[0].lower() for m in re.finditer(term, text)}:
             words[w] += n
-    n, flagged = len(rows), set()
-    for text, entity, a, b, word in near:
-        both = pairs[entity, word]
-        own = -math.log2(of(entities[entity]) / n)
-        if len(both) >= least_texts and own > 0 and math.log2(of(both) * n / (of(entities[entity]) * words[word])) / own >= at_least:
-            flagged.add((text, a, b))
+    n, flagged = len(rows), {}
+    everywhere = [(text, e, *p) for e in often for text in named[e] for p in places[text]]
+    for text, entity, a, b, word in near + everywhere:
+        met, own = weighed[entity, word] / 5, -math.log2(of(named[entity]) / n)
+        share = math.log2(both[entity, word] * n / (of(named[entity]) * words[word])) / own * met / (met + 0.75) if own > 0 else 0
+        if share >= at_least:
+            flagged[text, a, b] = max(share, flagged.get((text, a, b), 0))
     return flagged
 
 
+def terms_of(found):
+    return {(r["text"] or "", s["start"], s["stop"]): s["kind"] for r in found.collect() for s in r[-1] if s["kind"].startswith("term")}
+
+
 def test_disclosing_terms(spark, docs_of):
-    mail = "owner@corp.example.org"
+    mail, other = "owner@corp.example.org", "second@corp.example.org"
     rows = [(i, f"{prose(i, 12)} project manhattan lead {mail} asked {prose(i + 50, 12)}") for i in range(4)]
     rows += [(10 + i, prose(10 + i, 30) + " lead asked them") for i in range(30)] + [(50, rows[0][1]), (51, rows[0][1])] + ODD
+    # a heading far from the identifier, in eight texts; the same of another one in three
+    rows += [(60 + i, f"Zanzibar {prose(200 + i, 40)} {other} {prose(300 + i, 9)}") for i in range(8)]
+    rows += [(70 + i, f"Mombasa {prose(400 + i, 40)} third@corp.example.org {prose(500 + i, 9)}") for i in range(3)]
     found = disclosure.find_personal_data(docs_of(rows), ["doc_id", "text", "found"])
     assert found.columns == ["doc_id", "text", "found", "found_"]
-    got = {(r["text"] or "", s["start"], s["stop"]) for r in found.collect() for s in r["found_"] if s["kind"].startswith("term")}
-    assert got == disclosing_by_hand(rows, 80, 0.5, 3)
-    assert any(text[a:b] == "manhattan" for text, a, b in got) and not any(text[a:b] == "lead" for text, a, b in got)
+    got, expected = terms_of(found), disclosing_by_hand(rows, 80, 0.5)
+    assert got.keys() == expected.keys()
+    assert all((kind == "term_removed") == (expected[place] >= 0.9) for place, kind in got.items())
+    flagged = {text[a:b].lower() for text, a, b in got}
+    assert {"manhattan", "zanzibar"} <= flagged and not {"lead", "mombasa", "owner", "corp", "org"} & flagged
     clean = {r["doc_id"]: r["text"] for r in disclosure.sanitise(docs_of(rows)).collect()}
     assert "[EMAIL]" in clean[0] and mail not in clean[0] and "manhattan" not in clean[0] and "lead" in clean[0]
+    assert "Zanzibar" not in clean[60] and "Mombasa" in clean[70]
     assert clean[12] == dict(rows)[12] and disclosure.sanitise(docs_of(rows)).columns == docs_of(rows).columns
 
 
+def test_names_in_one_or_two_texts_and_in_copies(docs_of):
+    """A name beside an address is found in two texts, in one, and in fifty copies of one; short names too."""
+    rows = [(i, f"{prose(i, 30)} Li Wexford a.b@example.org {prose(i + 40, 30)}") for i in (1, 2)]
+    rows += [(3, f"{prose(3, 30)} write to Quibble c.d@example.org {prose(43, 30)}")]
+    rows += [(100 + i, f"{prose(4, 30)} Farquhar e.f@example.org {prose(44, 30)}") for i in range(50)]
+    rows += [(200 + i, f"{prose(1000 + i, 60)} write to them") for i in range(200)]
+    flagged = {text[a:b]: kind for (text, a, b), kind in terms_of(disclosure.find_personal_data(docs_of(rows), ["doc_id", "text"])).items()}
+    assert {"Li", "Wexford", "Quibble", "Farquhar"} <= flagged.keys() and flagged["Farquhar"] == "term_removed"
+    assert not {"write", "to"} & flagged.keys()
+
+
 @pytest.mark.parametrize("query", ["op1_secret_scan", "op6_disclosure"])
 def test_empty_tables(spark, docs_of, folder_of, query):
     assert queries.QUERIES[query](spark, folder_of(documents=docs_of([]))).count() == 0
