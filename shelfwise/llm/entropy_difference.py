@@ -33,7 +33,7 @@ WORD_BITS = 48
 #: Keys have so many bits more than the number of words in the corpus, whatever its size: one gram in 16,384 shares its key.
 SPARE_BITS = 14
 #: Bytes of text of a block, and of the texts whose grams a range of keys holds.
-BLOCK_BYTES, RANGE_BYTES = 1 << 22, 1 << 24
+BLOCK_BYTES, RANGE_BYTES = 1 << 21, 1 << 24
 #: The nominal number of words that the mass of unseen ones is spread over, and the prior's weight in words.
 UNSEEN, PRIOR = 1 << 18, 2.0
 _TARGET = 0  # in place of a block: counts of the target, which want no answer
@@ -134,11 +134,16 @@ def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one by one, as they are large."""
+    return (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch)))
+
+
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Asks sorted by range -> to each block of a range the counts of its grams in the corpus and in the target."""
     part, asked = None, []
     for batch in batches:
-        for row in batch.select(["block", "part", "keys", "counts"]).to_pylist():
+        for row in _rows(batch.select(["block", "part", "keys", "counts"])):
             if row["part"] != part and asked:
                 yield from _summed(part, asked)
                 asked = []
@@ -195,7 +200,7 @@ def _scores(bits: int, words: tuple[int, int], texts: tuple[int, int]):
         block, held = None, {}
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 if row["block"] != block:
                     block, held = row["block"], {}
                 if row["kind"] == _GRAMS:
