@@ -256,6 +256,50 @@ def test_pairs_are_ranked_and_no_pairs_accept_all():
     assert (pairwise_quality.fit(x[:0], good[:0]).score(x) >= 0.7).all()
 
 
+def features_by_hand(text):
+    data = (text or "").encode()
+    words = (text or "").encode().split()  # bytes are split at the same six blanks
+    size, some = max(1, len(data)), max(1, len(words))
+    pairs = list(zip(words, words[1:]))
+    out = [math.log1p(len(words)), math.log1p(size)]
+    for members in pairwise_quality._CLASSES.values():
+        share = sum(b in members.encode() for b in data) / size
+        out += [share, math.log(1e-3 + share)]
+    out += [sum(map(len, words)) / some, sum(len(w) == 1 for w in words) / some, sum(len(w) > 15 for w in words) / some]
+    for n in (sum(a == b for a, b in pairs), sum(w in words[:k] for k, w in enumerate(words))):
+        out += [n / some, math.log(1e-2 + n / some)]
+    return [*out, sum(p in pairs[:k] for k, p in enumerate(pairs)) / some]
+
+
+def test_quality_features_equal_plain_counting(small_docs):
+    texts = [t for _, t in ODD + small_docs if len(t or "") < 5000]
+    got = pairwise_quality.features(pa.array([(t or "").encode() for t in texts], pa.large_binary()))
+    assert got == pytest.approx(np.array([features_by_hand(t) for t in texts]), abs=1e-12)
+
+
+def test_pairwise_fit_equals_plain_descent():
+    """The minimum of the logistic loss on feature differences, found by small steps along the gradient, a pair at a time."""
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(60, 4))
+    good = x @ [2.0, -1.0, 0.5, 0.0] + draw.normal(size=60) > 0.3
+    model = pairwise_quality.fit(x, good, seed=9, penalty=0.05, most_pairs=300)
+    z = (x - x.mean(0)) / x.std(0)
+    again, high, low = np.random.default_rng(9), np.flatnonzero(good), np.flatnonzero(~good)
+    pairs = [z[a] - z[b] for a, b in zip(again.choice(high, 300), again.choice(low, 300))]
+    weights = [0.0] * 4
+    for _ in range(400):
+        step = [0.05 * w for w in weights]
+        for d in pairs:
+            wrong = 1 / (1 + math.exp(sum(w * v for w, v in zip(weights, d))))
+            step = [s - wrong * v / 300 for s, v in zip(step, d)]
+        weights = [w - 2.0 * s for w, s in zip(weights, step)]
+    assert model.weights == pytest.approx(weights, abs=1e-4)
+    scores = sorted(z @ np.array(weights))
+    at = (~good).mean() * 59  # the quantile is the share of the bad ones
+    assert scores[math.floor(at)] - 1e-3 <= model.threshold <= scores[math.ceil(at)] + 1e-3
+    assert model.score(x)[np.argmax(z @ np.array(weights))] == max(model.score(x)) > 0.7
+
+
 # --- language models
 
 
