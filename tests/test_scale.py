@@ -175,10 +175,10 @@ OF_THE_CATALOGUE = {
 }
 
 
-# Their last step reads marts alone, no table of the model.
+# Their last step reads marts or files alone, no table of the model.
 OF_MARTS = {
     "mart_quarterly_category", "refreshed_quarterly_category", "states_category_contribution", "states_channel_performance",
-    "distinct_counts_by_grain", "incremental_channel_rollup", "incremental_cohorts",
+    "distinct_counts_by_grain", "incremental_channel_rollup", "incremental_cohorts", "csv_rejects",
 }
 
 
