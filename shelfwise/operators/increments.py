@@ -6,15 +6,18 @@ month, a day, or late ones; batches may come in any order, as sums, least values
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import rnd
+from ..functions.numeric import case, rnd
 from ..functions.states import combined, distinct_counts, distinct_states, mean, sales_states, united
-from ..sources.batches import compact_mart, read_mart, refresh_mart
+from ..plans.session import ensure_checkpoint_dir
+from ..sources.batches import compact_mart, current_loads, read_mart, refresh_mart
 from ..sources.loader import delivered
 from .builders import MONTH_SUMS, first_orders, month_totals, per_order, rollup_report
 from .customers import cohort_report
@@ -34,12 +37,42 @@ class Increments:
 
     def add_sales(self, batch: str, lines: DataFrame) -> bool:
         """Sums of delivered lines. True if the batch was new."""
-        return refresh_mart(sales_states(delivered(lines), SALES_GRAIN), self.folder, "sales", batch)
+        return bool(self.add_sales_batches({batch: F.lit(True)}, lines))
 
     def add_sets(self, batch: str, lines: DataFrame, order_number: str = "order_number", buyer_number: str = "customer_number") -> bool:
         """Sets of orders and buyers of delivered lines, which hold their dense numbers."""
-        sets = distinct_states(delivered(lines), SET_GRAIN, {"orders": order_number, "buyers": buyer_number})
-        return refresh_mart(sets, self.folder, "sets", batch)
+        return bool(self.add_sets_batches({batch: F.lit(True)}, lines, order_number, buyer_number))
+
+    def add_sales_batches(self, batches: Mapping[str, Column], lines: DataFrame) -> list[str]:
+        """``add_sales`` for several batches, whose lines a condition each tells, from one pass over ``lines``. The names of the new ones."""
+        return self._add_batches("sales", batches, lines, lambda rows, batch: sales_states(rows, [batch, *SALES_GRAIN]))
+
+    def add_sets_batches(
+        self, batches: Mapping[str, Column], lines: DataFrame, order_number: str = "order_number", buyer_number: str = "customer_number"
+    ) -> list[str]:
+        """``add_sets`` for several batches from one pass."""
+        numbers = {"orders": order_number, "buyers": buyer_number}
+        return self._add_batches("sets", batches, lines, lambda rows, batch: distinct_states(rows, [batch, *SET_GRAIN], numbers))
+
+    def missing(self, name: str, batches: Sequence[str]) -> list[str]:
+        """Those of the batches that a mart does not hold."""
+        held = current_loads(self.spark, self.folder, name).agg(F.collect_set("batch")).first()[0]
+        return [batch for batch in batches if batch not in held]
+
+    def _add_batches(
+        self, name: str, batches: Mapping[str, Column], lines: DataFrame, states_of: Callable[[DataFrame, str], DataFrame]
+    ) -> list[str]:
+        """The states of all new batches are made at once, kept, and loaded from there batch by batch."""
+        new = self.missing(name, list(batches))
+        if not new:
+            return new
+        wanted = delivered(lines).filter(reduce(or_, [batches[b] for b in new]))
+        batch = "batch_number"
+        states = states_of(wanted.withColumn(batch, case(*[(batches[b], i) for i, b in enumerate(new)])), batch)
+        if len(new) > 1:
+            ensure_checkpoint_dir(self.spark)
+            states = states.checkpoint(eager=True)
+        return [b for i, b in enumerate(new) if refresh_mart(states.filter(F.col(batch) == i).drop(batch), self.folder, name, b)]
 
     def add_months(self, batch: str, lines: DataFrame) -> bool:
         """Totals of months and channels, and the batch's first order of each customer; lines of every status."""

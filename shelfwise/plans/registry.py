@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import measures
@@ -86,13 +86,15 @@ def kept_folder(m: CanonicalModel, name: str) -> str:
     return f"{ensure_checkpoint_dir(m.spark)}/{name}-{m.spark.sparkContext.applicationId}-{tables}"
 
 
-def in_batches(lines: DataFrame) -> dict[str, DataFrame]:
-    """Lines in three batches of whole orders that do not come in order of time: the earliest, and undated ones, come last."""
+def batch_conditions() -> dict[str, Column]:
+    """Three batches of whole orders that do not come in order of time: the earliest, and undated ones, come last."""
     day, cuts = F.col("order_date"), [F.lit(datetime.date(y, 1, 1)) for y in (1998, 2000)]
-    return {
-        "1998-1999": lines.filter((day >= cuts[0]) & (day < cuts[1])), "2000-": lines.filter(day >= cuts[1]),
-        "-1997": lines.filter((day < cuts[0]) | day.isNull()),
-    }
+    return {"1998-1999": (day >= cuts[0]) & (day < cuts[1]), "2000-": day >= cuts[1], "-1997": (day < cuts[0]) | day.isNull()}
+
+
+def in_batches(lines: DataFrame) -> dict[str, DataFrame]:
+    """The lines of each of these batches."""
+    return {name: lines.filter(condition) for name, condition in batch_conditions().items()}
 
 
 @query
@@ -109,17 +111,16 @@ def increments_of(m: CanonicalModel) -> Increments:
 
 
 def _sales_states(m: CanonicalModel) -> Increments:
-    """Sums and sets of all batches, stored once per application."""
-    kept = increments_of(m)
-    numbers = None
-    for name, lines in in_batches(m.orders).items():
-        kept.add_sales(name, lines)
-        if not batches.current_loads(m.spark, kept.folder, "sets").filter(F.col("batch") == name).isEmpty():
-            continue
-        if numbers is None:  # in order of time, so that the orders of a quarter are near to each other; customers are numbered already
-            dated = m.raw("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("day"))
-            numbers = dense_numbers(dated, "order_id", ["day", "order_id"]).withColumnRenamed("number", "order_number")
-        kept.add_sets(name, lines.join(numbers, "order_id", "left"), buyer_number="customer_id")
+    """Sums and sets of all batches, stored once per application. Lines are joined once for the sums and once for the sets."""
+    kept, parts = increments_of(m), batch_conditions()
+    kept.add_sales_batches(parts, m.orders)
+    if kept.missing("sets", list(parts)):
+        # in order of time, so that the orders of a quarter are near to each other; customers are numbered already
+        dated = m.raw("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("day"))
+        numbers = dense_numbers(dated, "order_id", ["day", "order_id"]).withColumnRenamed("number", "order_number")
+        # joined with their part first, lines are where their order is when its number joins them
+        lines = m.orders_of_every_status.join(numbers, "order_id", "left")
+        kept.add_sets_batches(parts, lines, buyer_number="customer_id")
     return kept
 
 

@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from shelfwise.functions import states
-from shelfwise.operators import builders, customers, sales
+from shelfwise.operators import builders, customers, increments, sales
 from shelfwise.operators.increments import SALES_GRAIN, SET_GRAIN, Increments
 from shelfwise.plans import registry
 from shelfwise.sources import batches
@@ -163,3 +163,27 @@ def test_month_by_month_equals_all_at_once(make, spark, tmp_path):
         same(kept.category_contribution(2023), sales.category_contribution(lines, 2023))
         kept.compact()
     assert kept.sets().count() == kept.sets().select(*SET_GRAIN, "kind", "bucket").distinct().count()
+
+
+def test_several_batches_from_one_pass(make, spark, tmp_path, monkeypatch):
+    """Batches by condition equal one by one; each is loaded from states that are kept, and lines are read once a mart."""
+    rows = random_lines(13)
+    lines = make("orders", rows).withColumns({"order_number": F.xxhash64("order_id") % 70_000, "customer_number": F.xxhash64("customer_id") % 500})
+    day = F.col("order_date")
+    parts = {"2022": F.year(day) == 2022, "2023": F.year(day) == 2023, "rest": ~F.year(day).isin(2022, 2023) | day.isNull()}
+    one, several = Increments(spark, f"{tmp_path}/one"), Increments(spark, f"{tmp_path}/several")
+    for name, condition in parts.items():
+        assert one.add_sales(name, lines.filter(condition)) and one.add_sets(name, lines.filter(condition), buyer_number="customer_number")
+    loaded, load = [], increments.refresh_mart
+    monkeypatch.setattr(increments, "refresh_mart", lambda df, *rest: (loaded.append(plan(df)), load(df, *rest))[1])
+    first = {"2023": parts["2023"]}
+    assert several.add_sales_batches(first, lines) == several.add_sets_batches(first, lines, buyer_number="customer_number") == ["2023"]
+    loaded.clear()
+    assert several.add_sales_batches(parts, lines) == several.add_sets_batches(parts, lines, buyer_number="customer_number") == ["2022", "rest"]
+    assert len(loaded) == 4 and all("ExistingRDD" in text and "Aggregate" not in text for text in loaded)
+    assert several.add_sales_batches(parts, lines) == several.add_sets_batches(parts, lines) == several.missing("sets", list(parts)) == []
+    same(several.channel_performance(), one.channel_performance())
+    same(several.channel_performance(), sales.channel_performance(lines.drop("order_number", "customer_number")))
+    same(several.distinct_by_grain(), one.distinct_by_grain())
+    for mart in ("sales", "sets"):
+        assert sorted(r["batch"] for r in batches.current_loads(spark, several.folder, mart).collect()) == sorted(parts)
