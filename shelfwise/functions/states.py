@@ -43,14 +43,24 @@ def distinct_states(rows: DataFrame, dims: Sequence[str], numbers: Mapping[str,
     """Sets per group: (dims, kind, bucket, bitmap). ``numbers`` maps a kind ("orders") to a column of whole numbers.
 
     A NULL is in no set, as in COUNT(DISTINCT). The numbers should be dense (``plans.ranking.dense_numbers``), and
-    near to each other within a group: a bitmap takes 4 KB however few numbers are in it.
+    near to each other within a group: a bitmap takes 4 KB however few numbers are in it. So tasks send the numbers they
+    have, two bytes each and each once, and a bitmap is made where all numbers of its bucket are.
     """
-    pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(column).cast("bigint").alias("number")) for kind, column in numbers.items()])
-    each = rows.select(*dims, F.explode(pairs).alias("one")).filter("one.number IS NOT NULL")
-    number = "one.number"
-    return each.groupBy(*dims, F.col("one.kind").alias("kind"), F.bitmap_bucket_number(number).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bitmap")
+    kinds = list(numbers)
+
+    def place(number: int) -> Column:
+        value = F.col(numbers[kinds[number]]).cast("bigint")
+        return F.struct(
+            F.lit(number).alias("kind"), F.bitmap_bucket_number(value).alias("bucket"), F.bitmap_bit_position(value).cast("smallint").alias("position")
+        )
+
+    each = rows.select(*dims, F.inline(F.array(*[place(number) for number in range(len(kinds))]))).filter("position IS NOT NULL")
+    keys = [*dims, "kind", "bucket"]
+    sets = each.groupBy(*keys).agg(F.collect_set("position").alias("positions"))
+    bitmaps = sets.select(*keys, F.explode("positions").alias("position")).groupBy(*keys).agg(
+        F.bitmap_construct_agg(F.col("position").cast("bigint")).alias("bitmap")
     )
+    return bitmaps.withColumn("kind", F.element_at(F.array(*[F.lit(kind) for kind in kinds]), F.col("kind") + 1))
 
 
 def united(states: DataFrame, dims: Sequence[str]) -> DataFrame:

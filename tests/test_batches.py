@@ -187,3 +187,11 @@ def test_several_batches_from_one_pass(make, spark, tmp_path, monkeypatch):
     same(several.distinct_by_grain(), one.distinct_by_grain())
     for mart in ("sales", "sets"):
         assert sorted(r["batch"] for r in batches.current_loads(spark, several.folder, mart).collect()) == sorted(parts)
+
+
+def test_tasks_send_numbers_not_bitmaps(spark):
+    """No task makes a bitmap of the few numbers it happens to have of each bucket."""
+    rows = spark.range(1000, numPartitions=4).select((F.col("id") % 5).alias("a"), "id")
+    text = plan(states.distinct_states(rows, ["a"], {"xs": "id"}))
+    below = text[text.rindex("Exchange hashpartitioning"):]
+    assert text.count("Exchange") == 1 and "bitmap_construct_agg" in text and "bitmap_construct_agg" not in below
